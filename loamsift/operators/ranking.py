@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,23 +103,22 @@ def shuffled(df: DataFrame, seed: int, id_col: str = "row_id") -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
 
 
-def dense_index(df: DataFrame, id_col: str = "row_id", buckets: int = 4096,
+def dense_index(df: DataFrame, id_col: str = "row_id", buckets: int = 256,
                 out: str = "index") -> DataFrame:
     """0-based dense index in id order without sorting everything in one task.
 
-    Ids are cut into ordered buckets; a bucket's offset is the number of rows in
-    the buckets before it (``buckets`` rows at most), and rows are numbered inside
-    their bucket only.
+    Quantiles of the id (at most ``buckets`` numbers) cut the rows into ordered
+    buckets of similar size. A bucket's offset is the row count of the buckets
+    before it, and rows are numbered inside their bucket only.
     """
-    span = df.agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
-    width = (F.col("_hi").cast("double") - F.col("_lo") + 1) / buckets
-    placed = df.join(F.broadcast(span)).withColumn(
-        "_bucket", F.floor((F.col(id_col).cast("double") - F.col("_lo")) / width)
-    ).drop("_lo", "_hi")
+    keyed = df.withColumn("_id", F.col(id_col).cast("double"))
+    cuts = keyed.approxQuantile("_id", [i / buckets for i in range(1, buckets)], 0.001)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(keyed)
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
         "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy(id_col)) - 1
     return (placed.withColumn("_inside", inside).join(F.broadcast(offsets), "_bucket")
             .withColumn(out, F.col("_offset") + F.col("_inside"))
-            .drop("_bucket", "_inside", "_offset"))
+            .drop("_id", "_bucket", "_inside", "_offset"))

@@ -13,6 +13,12 @@ def round1(c: Column) -> Column:
     return F.bround(c, 1)
 
 
+def mean1(c: Column | str) -> Column:
+    """Mean with one decimal, summed as decimals: the same for any order of the rows."""
+    c = F.col(c) if isinstance(c, str) else c
+    return round1(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c))
+
+
 def softmax(logits: Column) -> Column:
     """Stable softmax of an array column."""
     as_double = F.transform(logits, lambda x: x.cast("double"))

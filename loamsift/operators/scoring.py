@@ -84,12 +84,12 @@ def log_entries(scored: DataFrame, source: str, user: Column, ts: Column | None
 def batch_summary(scored: DataFrame) -> DataFrame:
     """Per label: count; plus the total and mean confidence of the batch on each row."""
     per_label = scored.groupBy("predicted_label").agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("_sum"))
+        F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(18,6)")).alias("_sum"))
     whole = Window.partitionBy()
     total = F.sum("n").over(whole)
     return per_label.select(
         "predicted_label", "n", total.alias("total"),
-        scores.round1(F.sum("_sum").over(whole) / total).alias("avg_confidence"))
+        scores.round1(F.sum("_sum").over(whole).cast("double") / total).alias("avg_confidence"))
 
 
 def train_classifier(df: DataFrame, features: int = 1 << 14, max_iter: int = 20) -> PipelineModel:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamsift import fixed
-from loamsift.functions.scores import round1, share_bar
+from loamsift.functions.scores import mean1, round1, share_bar
 from loamsift.functions.text import word_count
 
 
@@ -29,7 +29,7 @@ def top_counts(df: DataFrame, key: str = "repo", n: int = fixed.TOP_REPORT_ROWS)
 
 
 def mean_confidence(df: DataFrame, *keys: str) -> DataFrame:
-    agg = round1(F.avg("confidence")).alias("avg_confidence")
+    agg = mean1("confidence").alias("avg_confidence")
     return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
 
 

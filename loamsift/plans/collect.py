@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.operators import discovery, gates, summary
 from loamsift.operators.ranking import within_quota
+from loamsift.session import stash
 
 
 class Collected(NamedTuple):
@@ -43,17 +44,18 @@ def collect(issues: DataFrame, repos: DataFrame, aliases: DataFrame, seen: DataF
             target: int = fixed.TARGET_PER_LABEL) -> Collected:
     """New records, ids to remember (rejected ones too) and finished pairs.
 
-    ``have`` is (label, have): rows of earlier runs.
+    ``have`` is (label, have): rows of earlier runs, one per label. The share per
+    repo is computed from the full target.
     """
-    unique = candidates(issues, repos, aliases, seen, done, n_repos).join(
-        F.broadcast(have), "label", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    good = unique.where(gates.rejection_reason().isNull())
+    rows = candidates(issues, repos, aliases, seen, done, n_repos)
+    # The page limit bounds these rows by repos x aliases, whatever the landing holds.
+    judged = stash(rows.withColumn("reason", gates.rejection_reason()), "judged")
     base = discovery.base_per_repo(target, n_repos)
-    capped = discovery.cap_per_repo_label(good, base)
+    capped = discovery.cap_per_repo_label(judged.where(F.col("reason").isNull()), base)
     counts = capped.groupBy("label", "repo", "stars").agg(F.count("*").alias("n"))
     taken = within_quota(counts, target, have)
-    rows = capped.join(F.broadcast(taken), ["label", "repo"], "left_semi")
-    return Collected(gates.emit_record(rows), unique.select("id"), taken)
+    kept = capped.join(F.broadcast(taken), ["label", "repo"], "left_semi")
+    return Collected(gates.emit_record(kept), judged.select("id", "reason"), taken)
 
 
 def coverage(rows: DataFrame, labels: DataFrame, target: int = fixed.TARGET_PER_LABEL) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamsift import fixed
+from loamsift.functions.scores import mean1
 from loamsift.operators import gates, scoring, summary
 
 
@@ -30,7 +31,7 @@ def analytics(log: DataFrame) -> dict[str, DataFrame]:
     return {
         "labels": log.groupBy("label").agg(
             F.count("*").alias("n"),
-            F.bround(F.avg("confidence"), 1).alias("avg_confidence")),
+            mean1("confidence").alias("avg_confidence")),
         "sources": summary.source_counts(log),
         "timeline": summary.timeline(log),
     }

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loamsift.functions.scores import mean1
 from loamsift.operators.ranking import first_per_key
 from loamsift.sources.writers import append_log
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """Parquet files as they land. ``path`` may be a folder or a glob."""
+def file_stream(spark: SparkSession, folder: str, schema, names: str | None = None,
+                max_files: int | None = None) -> DataFrame:
+    """Parquet files as they land in ``folder``; ``names`` is an optional file pattern."""
     reader = spark.readStream.schema(schema)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None],
@@ -65,14 +69,14 @@ def score_and_append(stream: DataFrame, log: str, checkpoint: str,
 def label_means(log: DataFrame) -> DataFrame:
     """Count and mean confidence per label; batch or stream."""
     return log.groupBy("label").agg(
-        F.count("*").alias("n"), F.bround(F.avg("confidence"), 1).alias("avg_confidence"))
+        F.count("*").alias("n"), mean1("confidence").alias("avg_confidence"))
 
 
 def confidence_trend(log: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
     """Mean confidence per window and label; with ``delay`` the log is watermarked."""
     rows = log.withWatermark("ts", delay) if delay else log
     return rows.groupBy(F.window("ts", width), "label").agg(
-        F.count("*").alias("n"), F.bround(F.avg("confidence"), 1).alias("avg_confidence")
+        F.count("*").alias("n"), mean1("confidence").alias("avg_confidence")
     ).select(F.col("window.start").alias("window_start"), "label", "n", "avg_confidence")
 
 

@@ -36,6 +36,11 @@ def head(expr: str, n: int) -> str:
             f"ELSE {expr} END")
 
 
+def mean1(expr: str) -> str:
+    """Exact mean with one decimal, half to even."""
+    return (f"round_even(CAST(sum(CAST({expr} AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 1)")
+
+
 TAG, ENTITY = r"<[^>]{1,300}>", r"&[a-zA-Z]{2,8};|&#?\w{1,8};"
 IMAGE, LINK = r"!\[[^\]]*\]\([^\)]*\)", r"\[([^\]]+)\]\([^\)]+\)"
 BOLD, URL = r"\*{1,3}([^*\n]{1,200}?)\*{1,3}", r"https?://\S+|www\.\S+"

@@ -155,10 +155,11 @@ INLINE_CODE = r"`[^`\n]{1,300}`"
 URL = r"https?://\S+|www\.\S+"
 ISSUE_REF = r"#\d+"
 VERSION = r"(?=[v\d])(?<!\w)v?\d+\.\d+[\.\d\-\w]*\b"
-FILE_PATH = (
-    r"(?:/[\w.\-]++){2,}+|(?:\G|(?<![\w\-]))[\w\-]++\.(?:js|ts|py|java|go|rb|rs|cpp|c|h"
+FILE_SUFFIX = (
+    r"\.(?:js|ts|py|java|go|rb|rs|cpp|c|h"
     r"|jsx|tsx|vue|css|html|json|yaml|yml|xml|md|sh|swift|kt|dart)(?!\w)"
 )
+FILE_PATH = r"(?:/[\w.\-]++){2,}+|(?:\G|(?<![\w\-]))[\w\-]++" + FILE_SUFFIX
 HEX_FROM_7 = r"(?=[0-9a-f]{7})(?<!\w)[0-9a-f]{7,40}(?!\w)"
 HEX_FROM_8 = r"(?=[0-9a-f]{8})(?<!\w)[0-9a-f]{8,40}(?!\w)"
 TRACE_V3 = (

@@ -9,19 +9,47 @@ from pyspark.sql import functions as F
 
 from loamsift import fixed
 from loamsift.functions.regex import java
-from loamsift.functions.text import head_words, nfkc, strip
+from loamsift.functions.text import contains_any, head_words, let, nfkc, strip
+
+
+# A rule can only change a text that holds one of these pieces ...
+NEEDS = {
+    "crlf": ("\r",), "html_comment": ("<!--",), "html_tag": ("<",), "entity": ("&",),
+    "image": ("![",), "link": ("](",), "bold": ("*",), "strike": ("~~",), "header": ("#",),
+    "table": ("|",), "quote": (">",), "checkbox": ("[ ]", "[x]", "[X]"), "code_block": ("```",),
+    "inline_code": ("`",), "url": ("http", "www."), "issue_ref": ("#",), "template_header": ("#",),
+    "placeholder": ("[",), "any_square": ("[",), "spaces": ("  ", "\t"),
+    "blank_lines": ("\n\n\n",),
+}
+# ... or matches this cheaper pattern.
+PROBES = {
+    "trace": r"Traceback \(most|Exception in thread|\([\w\.]+:\d",
+    "version": r"\d\.\d",
+    "file_path": r"/[\w.\-]|" + fixed.FILE_SUFFIX,
+    "hex": r"[0-9a-f]{7}",
+}
 
 
 class Rule(NamedTuple):
-    """One replacement step. ``group`` rules keep capture group 1."""
+    """One replacement step; ``$1`` keeps capture group 1."""
 
     name: str
     pattern: str
     replacement: str
 
-    def apply(self, c: Column) -> Column:
+    def plain(self, c: Column) -> Column:
         return F.regexp_replace(c, java(self.pattern), self.replacement)
 
+    def apply(self, c: Column) -> Column:
+        """As ``plain``, skipping texts in which the pattern cannot match."""
+        if self.name in NEEDS:
+            return let(c, lambda t: F.when(contains_any(t, NEEDS[self.name]), self.plain(t))
+                       .otherwise(t))
+        if self.name in PROBES:
+            probe = java(PROBES[self.name])
+            return let(c, lambda t: F.when(t.rlike(probe), self.plain(t)).otherwise(t))
+        return self.plain(c)
+
 
 class Cleaner(NamedTuple):
     """Rules for one text column plus the optional cut to the first words."""
@@ -125,13 +153,14 @@ def rewrite(c: Column | str, rules: tuple[Rule, ...]) -> Column:
 def clean(df: DataFrame, cleaners: dict[str, Cleaner]) -> DataFrame:
     """Clean the named columns in place; all other columns pass through.
 
-    Two projections: the rule chain runs once per row in the first (it holds the
-    non-deterministic NFKC call, so nothing is pushed through or duplicated), and
-    the second cuts long texts, reading the finished column three times.
+    The whole chain of a column is one expression in one projection. It holds the
+    non-deterministic NFKC call, so Spark neither duplicates it nor pushes filters
+    through it: every text is cleaned once, whatever is built on top.
     """
-    rewritten = df.withColumns({n: rewrite(F.col(n), c.rules) for n, c in cleaners.items()})
-    cuts = {n: head_words(F.col(n), c.max_words) for n, c in cleaners.items() if c.max_words}
-    return rewritten.withColumns(cuts) if cuts else rewritten
+    def full(name: str, cleaner: Cleaner) -> Column:
+        text = rewrite(F.col(name), cleaner.rules)
+        return head_words(text, cleaner.max_words) if cleaner.max_words else text
+    return df.withColumns({n: full(n, c) for n, c in cleaners.items()})
 
 
 def rule_named(cleaner: Cleaner, name: str) -> Rule:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamsift import fixed
 from loamsift.functions.regex import SPACE, java
-from loamsift.functions.text import NON_ASCII, distinct_hits, prefix, strip, word_count
+from loamsift.functions.text import NON_ASCII, distinct_hits, let, prefix, strip, word_count
 
 # Fixed values of the test.
 MIN_JUDGED_CHARS = 15
@@ -46,12 +46,15 @@ def is_english(title: Column | str, body: Column | str, test: EnglishTest) -> Co
     """Boolean column; the branches run in order and stop at the first verdict."""
     title = F.col(title) if isinstance(title, str) else title
     body = F.col(body) if isinstance(body, str) else body
-    text = judged_text(title, body, test)
+    return let(judged_text(title, body, test), lambda text: _verdict(text, test))
+
+
+def _verdict(text: Column, test: EnglishTest) -> Column:
     non_ascii = F.regexp_count(text, F.lit(NON_ASCII))
     foreign = distinct_hits(text, test.stop_words) >= MIN_STOP_WORDS
     verdict = (
         F.when(F.length(text) < MIN_JUDGED_CHARS, True)
-        .when(non_ascii == 0, ~foreign)
+        .when(~text.rlike(NON_ASCII), ~foreign)
         .when(non_ascii / F.length(text) > MAX_NON_ASCII_SHARE, False)
     )
     for block in SCRIPT_BLOCKS:

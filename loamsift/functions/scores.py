@@ -16,7 +16,7 @@ def round1(c: Column) -> Column:
 def mean1(c: Column | str) -> Column:
     """Mean with one decimal, summed as decimals: the same for any order of the rows."""
     c = F.col(c) if isinstance(c, str) else c
-    return round1(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c))
+    return round1(F.avg(c.cast("decimal(18,6)"))).cast("double")
 
 
 def softmax(logits: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often ``body`` uses it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode blanks at both ends (a bare ``trim`` removes only spaces)."""
     return F.btrim(_col(c), F.lit(BLANKS))
@@ -43,8 +49,8 @@ def words(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of words, 0 for NULL and blank text."""
-    text = strip(c)
-    return F.when(F.length(text) > 0, F.size(F.split(text, GAP))).otherwise(0)
+    return F.coalesce(let(strip(c), lambda t: F.when(F.length(t) > 0, F.size(F.split(t, GAP)))),
+                      F.lit(0))
 
 
 def head_words(c: Column | str, n: int) -> Column:
@@ -53,10 +59,11 @@ def head_words(c: Column | str, n: int) -> Column:
     ``c`` must be stripped. Only a text that is too long is rewritten, and by
     ``substring_index``, which builds no array of words.
     """
-    text = _col(c)
-    flat = F.regexp_replace(text, GAP, " ")
-    too_long = F.size(F.split(text, GAP, n + 1)) > n
-    return F.when(too_long, F.substring_index(flat, " ", n)).otherwise(text)
+    def cut(t: Column) -> Column:
+        too_long = F.size(F.split(t, GAP, n + 1)) > n
+        return F.when(too_long, F.substring_index(F.regexp_replace(t, GAP, " "), " ", n)
+                      ).otherwise(t)
+    return let(_col(c), cut)
 
 
 def prefix(c: Column | str, n: int) -> Column:
@@ -73,8 +80,7 @@ def nfkc(c: Column | str) -> Column:
     """
     text = _col(c)
     composed = F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
-    )
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     return F.when(text.rlike(NON_ASCII), composed).otherwise(text)
 
 

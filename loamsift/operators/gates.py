@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.functions.language import COLLECT, is_english
 from loamsift.functions.regex import java
-from loamsift.functions.text import contains_any, is_blank, prefix, strip, word_count
+from loamsift.functions.text import contains_any, is_blank, let, prefix, strip, word_count
 
 
 def normalised_label(c: Column | str = "label") -> Column:
@@ -63,19 +63,23 @@ def rejection_reason(
     state: str = "state", comments: str = "comments", is_pr: str = "is_pr",
 ) -> Column:
     """First failing check of the gate, NULL for a row that passes."""
-    t = F.coalesce(strip(title), F.lit(""))
-    b = F.coalesce(strip(body), F.lit(""))
-    return (
-        F.when(F.coalesce(F.col(is_pr), F.lit(False)), "pr")
-        .when(written_by_bot(F.col(login), F.col(user_type)), "bot")
-        .when(word_count(t) < fixed.COLLECT_TITLE_WORDS, "short_title")
-        .when(b == "", "empty_body")
-        .when(word_count(b) < fixed.COLLECT_BODY_WORDS, "short_body")
-        .when(is_template(b), "template")
-        .when(is_unacknowledged(F.col(state), F.col(comments)), "unacknowledged")
-        .when(~is_english(t, b, COLLECT), "non_english")
-        .when(lacks_structure(b), "no_structure")
-    )
+    def checks(t: Column, b: Column, n_words: Column) -> Column:
+        short = n_words < fixed.TEMPLATE_BELOW_WORDS
+        return (
+            F.when(F.coalesce(F.col(is_pr), F.lit(False)), "pr")
+            .when(written_by_bot(F.col(login), F.col(user_type)), "bot")
+            .when(word_count(t) < fixed.COLLECT_TITLE_WORDS, "short_title")
+            .when(b == "", "empty_body")
+            .when(n_words < fixed.COLLECT_BODY_WORDS, "short_body")
+            .when(short & contains_any(F.lower(b), fixed.TEMPLATE_PHRASES), "template")
+            .when(is_unacknowledged(F.col(state), F.col(comments)), "unacknowledged")
+            .when(~is_english(t, b, COLLECT), "non_english")
+            .when(lacks_structure(b), "no_structure")
+        )
+    texts = F.struct(F.coalesce(strip(title), F.lit("")).alias("t"),
+                     F.coalesce(strip(body), F.lit("")).alias("b"),
+                     word_count(body).alias("n"))
+    return let(texts, lambda x: checks(x["t"], x["b"], x["n"]))
 
 
 def complete_rows(df: DataFrame, columns: tuple[str, ...], labels: tuple[str, ...]) -> DataFrame:

@@ -89,7 +89,7 @@ def batch_summary(scored: DataFrame) -> DataFrame:
     total = F.sum("n").over(whole)
     return per_label.select(
         "predicted_label", "n", total.alias("total"),
-        scores.round1(F.sum("_sum").over(whole).cast("double") / total).alias("avg_confidence"))
+        scores.round1(F.sum("_sum").over(whole) / total).cast("double").alias("avg_confidence"))
 
 
 def train_classifier(df: DataFrame, features: int = 1 << 14, max_iter: int = 20) -> PipelineModel:

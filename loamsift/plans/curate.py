@@ -9,6 +9,7 @@ for output. ``row_id`` must be stored with the data, so that both scans agree on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 from typing import NamedTuple
@@ -83,11 +84,14 @@ def verdicts(raw: DataFrame, recipe: Recipe) -> DataFrame:
               | (F.col("body_words") < recipe.min_body_words), "words")
         .when(~language.is_english("title", "body", recipe.english), "non_english"))
     passed = F.col("dropped_at").isNull()
+    # observe() is a barrier: without it a filter on dropped_at would be pushed below
+    # and all of the above evaluated twice.
     return judged.select(
         "row_id", "label", "dropped_at",
         F.when(passed, digest("title")).alias("title_key"),
         F.when(passed, digest("body")).alias("body_key"),
-        "body_words", "complete")
+        "body_words", "complete").observe(f"verdicts-{uuid.uuid4().hex}",
+                                          F.count(F.lit(1)).alias("rows"))
 
 
 def survivors(v: DataFrame, recipe: Recipe) -> DataFrame:

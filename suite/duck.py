@@ -38,7 +38,8 @@ def head(expr: str, n: int) -> str:
 
 def mean1(expr: str) -> str:
     """Exact mean with one decimal, half to even."""
-    return (f"round_even(CAST(sum(CAST({expr} AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 1)")
+    return (f"round_even(round(CAST(sum(CAST({expr} AS DECIMAL(18, 6))) AS DOUBLE) "
+            f"/ count(*), 9), 1)")
 
 
 TAG, ENTITY = r"<[^>]{1,300}>", r"&[a-zA-Z]{2,8};|&#?\w{1,8};"

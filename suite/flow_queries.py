@@ -436,8 +436,8 @@ def _(spark, d):
 @query("M09_batch_summary", f"""{_SOFT}, c AS (SELECT predicted_label,
 round_even(best * 100, 1) AS confidence FROM s)
 SELECT predicted_label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total,
-round_even(CAST(sum(sum(CAST(confidence AS DECIMAL(18, 6)))) OVER () AS DOUBLE)
-  / sum(count(*)) OVER (), 1) AS avg_confidence
+round_even(round(CAST(sum(sum(CAST(confidence AS DECIMAL(18, 6)))) OVER () AS DOUBLE)
+  / sum(count(*)) OVER (), 9), 1) AS avg_confidence
 FROM c GROUP BY predicted_label""")
 def _(spark, d):
     return scoring.batch_summary(_decoded(spark, d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,9 +108,11 @@ def class_weights(df: DataFrame) -> DataFrame:
          / (F.count("*").over(everything) * F.col("n"))).alias("weight"))
 
 
-def timeline(log: DataFrame, n: int = fixed.TIMELINE_ROWS, tie: str = "event_id") -> DataFrame:
-    """The last ``n`` log rows in time order."""
-    return log.orderBy(F.desc("ts"), F.desc(tie)).limit(n).orderBy("ts", tie)
+def timeline(log: DataFrame, n: int = fixed.TIMELINE_ROWS,
+             tie: Sequence[str] = ("label", "confidence", "source", "user")) -> DataFrame:
+    """The last ``n`` log rows in time order; ``tie`` orders rows of one instant."""
+    last = log.orderBy(F.desc("ts"), *[F.desc(c) for c in tie]).limit(n)
+    return last.orderBy("ts", *tie)
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -336,7 +336,7 @@ def _(spark, d):
 @query("W07_timeline", f"""{_LOG} SELECT event_id, label, confidence FROM log
 ORDER BY ts DESC, event_id DESC LIMIT 120""")
 def _(spark, d):
-    return summary.timeline(score_log(spark, d)).select("event_id", "label", "confidence")
+    return summary.timeline(score_log(spark, d), tie=("event_id",)).select("event_id", "label", "confidence")
 
 
 @query("W08_top_repos", f"{cte(**DISCOVERY, chosen=CHOSEN)} SELECT * FROM chosen")

@@ -109,8 +109,16 @@ def base_per_repo(needed: int, n_repos: int) -> int:
     return max(30, needed // max(n_repos // 2, 1) + 20)
 
 
-def cap_per_repo_label(rows: DataFrame, base: int) -> DataFrame:
-    """Per (repo, label) at most min(base, max(20, issues div 5)) rows."""
-    limit = F.least(F.lit(base), F.greatest(F.lit(20), F.floor(F.col("issues") / 5)))
+def cap_per_repo_label(rows: DataFrame, target: int, n_repos: int) -> DataFrame:
+    """Per (repo, label) at most min(base, max(20, issues div 5)) rows.
+
+    With a ``have`` column the base of a label follows from what it still needs.
+    """
+    most = base_per_repo(target, n_repos)
+    base = F.lit(most)
+    if "have" in rows.columns:
+        share = F.floor((F.lit(target) - F.col("have")) / max(n_repos // 2, 1)) + 20
+        base = F.greatest(F.lit(30), share)
+    limit = F.least(base, F.greatest(F.lit(20), F.floor(F.col("issues") / 5)))
     return top_per_group(rows, ["repo", "label"],
-                         ["alias_rank", F.desc("updated_at"), "id"], base, row_limit=limit)
+                         ["alias_rank", F.desc("updated_at"), "id"], most, row_limit=limit)

@@ -98,11 +98,11 @@ def train_classifier(df: DataFrame, features: int = 1 << 14, max_iter: int = 20)
     ``df`` has ``text`` and ``label``; label ids are the sorted label names. The
     weights correct for class imbalance instead of repeating rows.
     """
-    weights = class_weights(df).select("label", "weight")
     ids = {name: i for i, name in enumerate(fixed.LABELS_MODEL)}
-    data = (df.join(F.broadcast(weights), "label")
-            .withColumn("label_id", scores.encode_label(F.col("label"), ids).cast("double"))
-            .where(F.col("label_id").isNotNull()))
+    known = df.withColumn("label_id", scores.encode_label(F.col("label"), ids).cast("double")
+                          ).where(F.col("label_id").isNotNull())
+    weights = class_weights(known).select("label", "weight")  # one row per known label
+    data = known.join(F.broadcast(weights), "label")
     return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"\s+"),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),

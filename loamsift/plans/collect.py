@@ -28,13 +28,17 @@ def choose_repos(repos: DataFrame, specs: DataFrame, n: int = fixed.TOP_REPOS) -
 
 
 def candidates(issues: DataFrame, repos: DataFrame, aliases: DataFrame, seen: DataFrame,
-               done: DataFrame, n_repos: int = fixed.TOP_REPOS) -> DataFrame:
-    """Closed, unseen issues of open (label, repo) pairs, one row per id.
+               done: DataFrame, have: DataFrame, n_repos: int = fixed.TOP_REPOS,
+               target: int = fixed.TARGET_PER_LABEL) -> DataFrame:
+    """Closed, unseen issues of open labels and open (label, repo) pairs, one row per id.
 
-    ``repos`` has at most ``n_repos`` rows (see ``choose_repos``).
+    ``repos`` has at most ``n_repos`` rows (see ``choose_repos``) and ``have`` one row
+    per label. A label that has its target is not fetched at all, so it claims no id.
     """
     closed = issues.where(F.col("state") == "closed")
     rows = discovery.resolve_aliases(discovery.of_repos(closed, repos, n_repos), aliases)
+    rows = (rows.join(F.broadcast(have.select("label", "have")), "label", "left")
+            .withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < target))
     rows = discovery.pages_per_alias(discovery.not_done(rows, done))
     return discovery.not_seen(discovery.first_per_id(rows), seen)
 
@@ -44,15 +48,16 @@ def collect(issues: DataFrame, repos: DataFrame, aliases: DataFrame, seen: DataF
             target: int = fixed.TARGET_PER_LABEL) -> Collected:
     """New records, ids to remember (rejected ones too) and finished pairs.
 
-    ``have`` is (label, have): rows of earlier runs, one per label. The share per
-    repo is computed from the full target.
+    ``have`` is (label, have): rows of earlier runs, one per label.
     """
-    rows = candidates(issues, repos, aliases, seen, done, n_repos)
+    rows = candidates(issues, repos, aliases, seen, done, have, n_repos, target)
     # The page limit bounds these rows by repos x aliases, whatever the landing holds.
     judged = stash(rows.withColumn("reason", gates.rejection_reason()), "judged")
-    base = discovery.base_per_repo(target, n_repos)
-    capped = discovery.cap_per_repo_label(judged.where(F.col("reason").isNull()), base)
-    counts = capped.groupBy("label", "repo", "stars").agg(F.count("*").alias("n"))
+    capped = discovery.cap_per_repo_label(
+        judged.where(F.col("reason").isNull()), target, n_repos)
+    pair = ["label", "repo", "stars"]
+    counts = judged.select(*pair).distinct().join(
+        capped.groupBy(*pair).agg(F.count("*").alias("n")), pair, "left").na.fill(0, ["n"])
     taken = within_quota(counts, target, have)
     kept = capped.join(F.broadcast(taken), ["label", "repo"], "left_semi")
     return Collected(gates.emit_record(kept), judged.select("id", "reason"), taken)

@@ -114,22 +114,25 @@ def finish(raw: DataFrame, kept_ids: DataFrame, recipe: Recipe) -> DataFrame:
     rows = rows.select("row_id", "repo", "title", "body", gates.normalised_label().alias("label"))
     out = gates.complete_rows(cleaning.clean(rows, recipe.cleaners), recipe.required,
                               recipe.labels)
-    if recipe.shuffle_seed is not None:
-        out = shuffled(out, recipe.shuffle_seed)
     return out.select("row_id", "repo", "title", "body", "label")
 
 
+def ordered(result: DataFrame, recipe: Recipe) -> DataFrame:
+    """Apply the seeded shuffle of the recipe, if it has one."""
+    return result if recipe.shuffle_seed is None else shuffled(result, recipe.shuffle_seed)
+
+
 def curate(raw: DataFrame, recipe: Recipe) -> DataFrame:
     """Curated rows (row_id, repo, title, body, label) as one lazy plan."""
     kept = balanced(survivors(verdicts(raw, recipe), recipe), recipe)
-    return finish(raw, kept.select("row_id"), recipe)
+    return ordered(finish(raw, kept.select("row_id"), recipe), recipe)
 
 
 class Curation:
     """One run whose parts share a single cleaning pass.
 
-    The verdicts and the kept ids are written to the shared scratch folder on first
-    use. Counts come from these tables, not from accumulators, so a task that runs
+    Verdicts, kept ids and the result are written to the shared scratch folder on
+    first use, so the source is scanned twice however many reports are drawn. Counts come from these tables, not from accumulators, so a task that runs
     twice cannot be counted twice.
     """
 
@@ -150,8 +153,13 @@ class Curation:
     def kept(self) -> DataFrame:
         return stash(balanced(self.survivors, self.recipe), f"kept-{self.recipe.name}")
 
+    @cached_property
+    def table(self) -> DataFrame:
+        return stash(finish(self.raw, self.kept.select("row_id"), self.recipe),
+                     f"curated-{self.recipe.name}")
+
     def result(self) -> DataFrame:
-        return finish(self.raw, self.kept.select("row_id"), self.recipe)
+        return ordered(self.table, self.recipe)
 
     def funnel(self) -> DataFrame:
         """stage_no, stage, n: rows left after every stage."""
@@ -177,7 +185,7 @@ class Curation:
             self.verdicts.withColumnRenamed("dropped_at", "reason"))
 
     def report(self) -> DataFrame:
-        return report(self.result(), self.funnel())
+        return report(self.table, self.funnel())
 
 
 def retention(funnel: DataFrame) -> DataFrame:

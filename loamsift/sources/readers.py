@@ -60,6 +60,16 @@ def read_issue_pages(spark: SparkSession, path: str, multi_line: bool = False) -
     return reader.json(path).where(F.col("id").isNotNull()).drop("_corrupt")
 
 
+def store_with_row_ids(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet with a ``row_id`` and read it back.
+
+    Ids follow the order inside each scan partition and are fixed from here on; within
+    one multi-line CSV file that is the file order.
+    """
+    df.withColumn("row_id", F.monotonically_increasing_id()).write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def flatten_issue(df: DataFrame) -> DataFrame:
     """Nested API issue -> flat columns of the quality gate."""
     return df.select(
@@ -86,13 +96,16 @@ def read_repo_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REPOS).json(path)
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """Upload by file suffix; ``title`` is required, ``body`` optional."""
+def read_upload(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Upload by file suffix; ``title`` is required, ``body`` optional.
+
+    JSON of unknown columns costs Spark one more pass unless ``schema`` is given.
+    """
     name = path.lower().rstrip("/")
     if name.endswith(".csv"):
         df = read_csv(spark, path)
     elif name.endswith((".json", ".jsonl")):
-        df = normalise_header(spark.read.json(path))
+        df = normalise_header((spark.read.schema(schema) if schema else spark.read).json(path))
     elif name.endswith(".parquet"):
         df = normalise_header(spark.read.parquet(path))
     else:

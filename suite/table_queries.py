@@ -302,8 +302,7 @@ def _unique(spark, d):
 @query("W03_cap_per_repo_label", f"""{cte(**_COLLECT_VIEWS, uniq=_UNIQUE, capped=_CAPPED)}
 SELECT id, repo, canonical AS label FROM capped""")
 def _(spark, d):
-    base = discovery.base_per_repo(200, 25)
-    return discovery.cap_per_repo_label(_unique(spark, d), base).select("id", "repo", "label")
+    return discovery.cap_per_repo_label(_unique(spark, d), 200, 25).select("id", "repo", "label")
 
 
 @query("W04_pages_per_alias", f"""{cte(tickets=views.TICKETS, aliases=ALIAS_DIM, x=EXPLODED)}
@@ -327,7 +326,7 @@ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY stars DESC, re
 SELECT c.id, b.label, b.repo FROM capped c JOIN b ON b.label = c.canonical AND b.repo = c.repo
 WHERE b.before < 200""")
 def _(spark, d):
-    capped = discovery.cap_per_repo_label(_unique(spark, d), discovery.base_per_repo(200, 25))
+    capped = discovery.cap_per_repo_label(_unique(spark, d), 200, 25)
     counts = capped.groupBy("label", "repo", "stars").agg(F.count("*").alias("n"))
     taken = ranking.within_quota(counts, 200)
     return capped.join(taken, ["label", "repo"], "left_semi").select("id", "label", "repo")

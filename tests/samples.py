@@ -57,19 +57,16 @@ def clean(text: str | None, which: str) -> str:
     return " ".join(words[:n]) if n and len(words) > n else text
 
 
+_SCRIPTS = [range(0x4E00, 0xA000), range(0x3040, 0x3100), range(0x400, 0x500), range(0x600, 0x700)]
+
+
 def english(title: str, body: str, n: int, allowed: int, stops, share: bool) -> bool:
-    text = (title + " " + body[:n]).strip()
-    if len(text) < 15:
-        return True
-    odd = sum(ord(c) > 127 for c in text)
-    if odd / len(text) > 0.12:
-        return False
-    for lo, hi in ((0x4E00, 0x9FFF), (0x3040, 0x30FF), (0x400, 0x4FF), (0x600, 0x6FF)):
-        if sum(lo <= ord(c) <= hi for c in text) > allowed:
-            return False
-    if len(set(text.lower().split()) & set(stops)) >= 3:
-        return False
-    words = text.split()
-    if share and len(words) > 6 and sum(w.isascii() for w in words) / len(words) < 0.70:
-        return False
-    return True
+    text = f"{title} {body[:n]}".strip()
+    codes, tokens = [ord(c) for c in text], text.split()
+    refusals = [
+        sum(c > 127 for c in codes) > 0.12 * len(codes),
+        max(sum(c in block for c in codes) for block in _SCRIPTS) > allowed,
+        len(set(stops).intersection(text.lower().split())) > 2,
+        share and len(tokens) > 6 and sum(map(str.isascii, tokens)) / len(tokens) < 0.70,
+    ]
+    return len(text) < 15 or not any(refusals)

@@ -151,5 +151,10 @@ def test_collect_resumes_without_repeats(spark):
     again = collecting.collect(df, repos, aliases, first.seen, first.done, have, n_repos=100,
                                target=3)
     assert again.rows.count() == 0
+    assert first.done.count() <= first.seen.count()
+    full = labels.select("label", F.when(F.col("label") == "bug", 3).otherwise(0).cast("long")
+                         .alias("have"))
+    rest = collecting.collect(df, repos, aliases, none, done, full, n_repos=100, target=3)
+    assert rest.rows.where("label = 'bug'").count() == 0 and rest.rows.count() > 0
     gap = {r["label"]: r["needed"] for r in collecting.coverage(first.rows, labels, 3).collect()}
     assert all(v >= 0 for v in gap.values()) and len(gap) == 6

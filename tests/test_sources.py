@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from loamsift.sources import readers, writers
 
@@ -25,6 +24,13 @@ def test_csv_missing_values_and_header(spark, tmp_path):
     assert readers.read_csv(spark, path).columns == ["title", "body"]
 
 
+def test_row_ids_follow_the_file(spark, tmp_path):
+    with open(tmp_path / "in.csv", "w") as f:
+        f.write("title\n" + "".join(f"t{i}\n" for i in range(50)))
+    df = readers.store_with_row_ids(readers.read_csv(spark, f"{tmp_path}/in.csv"), f"{tmp_path}/p")
+    assert [r["title"] for r in df.orderBy("row_id").collect()] == [f"t{i}" for i in range(50)]
+
+
 def test_missing_columns(spark):
     df = spark.createDataFrame([("t",)], "title string")
     assert readers.with_defaults(df, ("title", "body")).first()["body"] == ""
@@ -121,4 +127,3 @@ def test_spread_small_scan_leaves_wide_scans_alone(spark):
     small, wide = spark.range(10).coalesce(1), spark.range(0, 10, 1, 64)
     assert spread_small_scan(small, "id").rdd.getNumPartitions() == 8
     assert spread_small_scan(wide, "id") is wide
-    assert F is not None

@@ -12,20 +12,19 @@ from loamsift.functions.regex import java
 from loamsift.functions.text import contains_any, head_words, let, nfkc, strip
 
 
-# A rule can only change a text that holds one of these pieces ...
+# A rule can only change a text that holds one of these pieces or matches the
+# cheaper pattern below.
 NEEDS = {
     "crlf": ("\r",), "html_comment": ("<!--",), "html_tag": ("<",), "entity": ("&",),
     "image": ("![",), "link": ("](",), "bold": ("*",), "strike": ("~~",), "header": ("#",),
     "table": ("|",), "quote": (">",), "checkbox": ("[ ]", "[x]", "[X]"), "code_block": ("```",),
     "inline_code": ("`",), "url": ("http", "www."), "issue_ref": ("#",), "template_header": ("#",),
     "placeholder": ("[",), "any_square": ("[",), "spaces": ("  ", "\t"),
-    "blank_lines": ("\n\n\n",),
+    "blank_lines": ("\n\n\n",), "trace": ("Traceback (most", "Exception in thread"),
+    "file_path": ("/",),
 }
-# ... or matches this cheaper pattern.
 PROBES = {
-    "trace": r"Traceback \(most|Exception in thread|\([\w\.]+:\d",
-    "version": r"\d\.\d",
-    "file_path": r"/[\w.\-]|" + fixed.FILE_SUFFIX,
+    "trace": r"\([\w\.]+:\d", "version": r"\d\.\d", "file_path": fixed.FILE_SUFFIX,
     "hex": r"[0-9a-f]{7}",
 }
 
@@ -42,13 +41,15 @@ class Rule(NamedTuple):
 
     def apply(self, c: Column) -> Column:
         """As ``plain``, skipping texts in which the pattern cannot match."""
-        if self.name in NEEDS:
-            return let(c, lambda t: F.when(contains_any(t, NEEDS[self.name]), self.plain(t))
-                       .otherwise(t))
-        if self.name in PROBES:
-            probe = java(PROBES[self.name])
-            return let(c, lambda t: F.when(t.rlike(probe), self.plain(t)).otherwise(t))
-        return self.plain(c)
+        if self.name not in NEEDS and self.name not in PROBES:
+            return self.plain(c)
+
+        def guarded(t: Column) -> Column:
+            possible = contains_any(t, NEEDS.get(self.name, ()))
+            if self.name in PROBES:
+                possible = possible | t.rlike(java(PROBES[self.name]))
+            return F.when(possible, self.plain(t)).otherwise(t)
+        return let(c, guarded)
 
 
 class Cleaner(NamedTuple):

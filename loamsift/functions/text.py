@@ -19,8 +19,9 @@ BLANKS = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 NON_ASCII = r"[^\x00-\x7F]"
-# The look-ahead refuses printable ASCII at once; it changes no match.
-GAP = java(r"(?![!-~])\s+")
+# One run of blanks. The first branch settles the usual single space, and the
+# look-ahead refuses printable ASCII at once; neither changes what is matched.
+GAP = java(r" (?=[!-~])|(?![!-~])\s+")
 
 
 def _col(c: Column | str) -> Column:

@@ -1,0 +1 @@
+"""Issue-text curation and scoring as Spark plans."""

@@ -1,0 +1 @@
+"""Frame operators."""

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lets the per-label caps (up to 3,500 rows) be cut inside map tasks as well
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 _local_scratch: dict[str, str] = {}

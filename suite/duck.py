@@ -42,6 +42,7 @@ def mean1(expr: str) -> str:
             f"/ count(*), 9), 1)")
 
 
+# The cleaning patterns in RE2's spelling, step by step.
 TAG, ENTITY = r"<[^>]{1,300}>", r"&[a-zA-Z]{2,8};|&#?\w{1,8};"
 IMAGE, LINK = r"!\[[^\]]*\]\([^\)]*\)", r"\[([^\]]+)\]\([^\)]+\)"
 BOLD, URL = r"\*{1,3}([^*\n]{1,200}?)\*{1,3}", r"https?://\S+|www\.\S+"

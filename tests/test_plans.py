@@ -99,6 +99,7 @@ def test_curation_plan(spark):
     df = curation.curate(views.issues(spark, SF_DIR), curation.FINAL)
     plan = plan_text(df)
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    assert plan.count("WindowGroupLimit") == 8  # two dedups and two ranking levels, map and reduce
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line
             and "REPARTITION" not in line]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loamsift import fixed
-from loamsift.functions.regex import SPACE, java
+from loamsift.functions.regex import NON_SPACE_WIDE, java
 from loamsift.functions.text import NON_ASCII, distinct_hits, let, prefix, strip, word_count
 
 # Fixed values of the test.
@@ -23,7 +23,7 @@ SCRIPT_BLOCKS = (
     r"[\x{0400}-\x{04FF}]",
     r"[\x{0600}-\x{06FF}]",
 )
-_NON_ASCII_WORD = java(r"\S*") + rf"[^\x00-\x7F{SPACE}]" + java(r"\S*")
+_NON_ASCII_WORD = java(r"\S*") + f"[{NON_SPACE_WIDE}]" + java(r"\S*")
 
 
 class EnglishTest(NamedTuple):

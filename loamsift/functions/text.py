@@ -19,8 +19,9 @@ BLANKS = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 NON_ASCII = r"[^\x00-\x7F]"
-# One run of blanks. The first branch settles the usual single space, and the
+# GAP is one run of blanks. The first branch settles the usual single space, and the
 # look-ahead refuses printable ASCII at once; neither changes what is matched.
+_WORD = java(r"\S+")
 GAP = java(r" (?=[!-~])|(?![!-~])\s+")
 
 
@@ -50,8 +51,7 @@ def words(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of words, 0 for NULL and blank text."""
-    return F.coalesce(let(strip(c), lambda t: F.when(F.length(t) > 0, F.size(F.split(t, GAP)))),
-                      F.lit(0))
+    return F.coalesce(F.regexp_count(_col(c), F.lit(_WORD)), F.lit(0))
 
 
 def head_words(c: Column | str, n: int) -> Column:
@@ -60,11 +60,8 @@ def head_words(c: Column | str, n: int) -> Column:
     ``c`` must be stripped. Only a text that is too long is rewritten, and by
     ``substring_index``, which builds no array of words.
     """
-    def cut(t: Column) -> Column:
-        too_long = F.size(F.split(t, GAP, n + 1)) > n
-        return F.when(too_long, F.substring_index(F.regexp_replace(t, GAP, " "), " ", n)
-                      ).otherwise(t)
-    return let(_col(c), cut)
+    return let(_col(c), lambda t: F.when(
+        word_count(t) > n, F.substring_index(F.regexp_replace(t, GAP, " "), " ", n)).otherwise(t))
 
 
 def prefix(c: Column | str, n: int) -> Column:

@@ -114,7 +114,7 @@ def test_repo_catalog_and_pages(spark, tmp_path):
     assert readers.read_repo_catalog(spark, f"{tmp_path}/c").first()["full_name"] == "a/b"
 
 
-def test_scratch_folder_must_be_shared(spark, monkeypatch):
+def test_scratch_folder_is_the_shared_one(spark):
     from loamsift import session
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
     shared = spark.conf.get(session.CHECKPOINT_CONF, None)
@@ -122,6 +122,14 @@ def test_scratch_folder_must_be_shared(spark, monkeypatch):
         assert session.scratch_root(spark) == shared.rstrip("/")
 
 
+def test_scratch_is_cleared_by_application(spark, tmp_path, monkeypatch):
+    from loamsift import session
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    kept = session.stash(spark.range(7), "t")
+    assert kept.count() == 7 and len(os.listdir(f"{tmp_path}/loamsift")) == 1
+    assert session.clear_scratch(spark) and os.listdir(f"{tmp_path}/loamsift") == []
+
+
 def test_spread_small_scan_leaves_wide_scans_alone(spark):
     from loamsift.session import spread_small_scan
     small, wide = spark.range(10).coalesce(1), spark.range(0, 10, 1, 64)

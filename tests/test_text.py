@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamsift import fixed
 from loamsift.functions import cleaning, language, text
+from loamsift.functions.regex import java
 from tests import samples
 
 CHAINS = {"title_v3": cleaning.TITLE_V3, "title_final": cleaning.TITLE_FINAL,
@@ -112,6 +114,17 @@ def test_nfkc_in_jvm_and_arrow_agree_with_python(spark):
     assert apply(spark, values, text.nfkc_arrow) == want
 
 
+@pytest.mark.parametrize("pattern", [r"\s", r"\S", r"[x\s]", r"[^\s]"])
+def test_blank_classes_on_every_code_point(spark, pattern):
+    # surrogates are no text, and a lone U+FEFF is a byte order mark to the decoder
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and c != 0xFEFF]
+    chars = spark.range(1, 0x110000).where(
+        "(id < 55296 OR id > 57343) AND id <> 65279").select(
+        "id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    got = {r["id"] for r in chars.where(F.col("c").rlike(f"^{java(pattern)}\\z")).select("id").collect()}
+    assert got == {c for c in codes if re.fullmatch(pattern, chr(c))}
+
+
 def test_strip_words_and_counts(spark):
     values = samples.texts(500, seed=3) + ["", "   ", " a \x1c b c \x85"]
     assert apply(spark, values, text.strip) == [v.strip() for v in values]

@@ -62,7 +62,7 @@ def raw(spark):
     """Given rows plus a hot group of copies and rows without a repo."""
     df = views.issues(spark, SF_DIR).select("row_id", "repo", "title", "body", "label")
     copies = df.where("row_id = 9").select(
-        F.explode(F.sequence(F.lit(1000), F.lit(1149))).cast("long").alias("row_id"), "repo", "title", "body", F.lit("question").alias("label"))
+        F.explode(F.expr("sequence(1000L, 1149L)")).alias("row_id"), "repo", "title", "body", F.lit("question").alias("label"))
     blank = df.limit(20).withColumn("row_id", F.col("row_id") + 5000).withColumn(
         "repo", F.lit(" ")).withColumn("title", F.concat("title", F.lit(" again indeed")))
     return df.unionByName(copies).unionByName(blank)

@@ -82,18 +82,16 @@ def nfkc(c: Column | str) -> Column:
     return F.when(text.rlike(NON_ASCII), composed).otherwise(text)
 
 
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
-
-
 def nfkc_arrow(c: Column | str) -> Column:
     """NFKC by Arrow UDF, for clusters without ICU on the class path.
 
     ASCII rows travel as NULL, so only text that can change is shipped to Python.
     """
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
     text = _col(c)
-    compose = F.pandas_udf(_compose, T.StringType()).asNondeterministic()
-    return F.coalesce(compose(F.when(text.rlike(NON_ASCII), text)), text)
+    udf = F.pandas_udf(compose, T.StringType()).asNondeterministic()
+    return F.coalesce(udf(F.when(text.rlike(NON_ASCII), text)), text)
 
 
 def distinct_hits(c: Column | str, vocabulary: tuple[str, ...]) -> Column:

@@ -338,16 +338,14 @@ def _(spark, d):
     return issues(spark, d).select("row_id", scoring.pair_text().alias("text"))
 
 
-def _linear_scorer():
-    """A stand-in model: its logits are the vector it is given."""
-    import numpy as np
-    return lambda batch: np.stack(batch.to_numpy())
-
-
 @query("M02_batch_scorer", f"""{_SOFT} SELECT vec_id, predicted_label,
 round_even(best * 100, 1) AS confidence FROM s""")
 def _(spark, d):
-    scored = scoring.with_logits(_vectors(spark, d), F.col("e"), _linear_scorer, len(LABELS))
+    def load():
+        """A stand-in model: its logits are the vector it is given."""
+        import numpy as np
+        return lambda batch: np.stack(batch.to_numpy())
+    scored = scoring.with_logits(_vectors(spark, d), F.col("e"), load, len(LABELS))
     return scoring.decode_logits(scored, "logits", LABELS).select(
         "vec_id", "predicted_label", "confidence")
 

@@ -45,7 +45,7 @@ SELECT doc_id AS id, doc_id AS row_id, source AS repo,
   doc_id % 17 = 0 AS is_pr,
   CASE doc_id % 7 WHEN 0 THEN 'kind/bug' WHEN 1 THEN 'feature' WHEN 2 THEN 'docs'
     WHEN 3 THEN 'help' WHEN 4 THEN 'perf' WHEN 5 THEN 'cleanup' ELSE 'wontfix' END AS alias1,
-  CASE WHEN doc_id % 3 = 0 THEN 'question' ELSE 'triaged' END AS alias2
+  CASE WHEN doc_id % 3 = 0 THEN 'question' ELSE 'other' END AS alias2
 FROM {{documents}}
 """
 
@@ -79,7 +79,7 @@ SELECT o_orderkey AS id, 'org/r' || CAST(o_custkey % 40 AS STRING) AS repo,
     WHEN '3' THEN 'documentation' WHEN '4' THEN 'question' ELSE 'performance' END AS label,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'type:bug' WHEN '2' THEN 'feature'
     WHEN '3' THEN 'doc' WHEN '4' THEN 'help' ELSE 'speed' END AS alias1,
-  CASE o_orderstatus WHEN 'F' THEN 'refactoring' WHEN 'P' THEN 'bug' ELSE 'triaged' END AS alias2,
+  CASE o_orderstatus WHEN 'F' THEN 'refactoring' WHEN 'P' THEN 'bug' ELSE 'other' END AS alias2,
   CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state,
   o_orderdate AS updated_at, o_totalprice AS size
 FROM {orders}

@@ -149,3 +149,11 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     skip = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
     return np.arange(total) + skip
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the worker process, shared by its tasks."""
+    import sys
+    import types
+    holder = sys.modules.setdefault("_loamsift_process_cache", types.ModuleType("cache"))
+    return holder.__dict__.setdefault(name, {})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, lines
+from loamsift.llm import contain, kdtree, lines, neardup, packing
 from loamsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, d, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_NEAR = _word_sets('documents', 'doc_id', '[^\\x20\\x09-\\x0D]+', 3)
+
+
+@query("op2_near_dedup", f"""WITH RECURSIVE s AS ({_NEAR}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+often AS (SELECT s, count(*) AS f FROM s GROUP BY 1),
+r AS (SELECT s.doc_id, s.s, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f, s.s) AS i
+  FROM s JOIN often USING (s) JOIN n USING (doc_id)),
+head AS (SELECT * FROM r WHERE i <= n - ceil(0.85 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM head a JOIN head b ON a.s = b.s
+  AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+p AS (SELECT c.a, c.b, count(*) AS k FROM c JOIN s x ON x.doc_id = c.a
+  JOIN s y ON y.doc_id = c.b AND y.s = x.s GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+w AS (SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node),
+m AS (SELECT node, min(root) AS root FROM w GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id,
+  m.root = d.doc_id AS kept
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.link(table(spark, d, "documents"), k=3, percent=85).drop("class_id")
+
+
+@query("op7_packing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+    cut = packing.pieces(table(spark, d, "documents"),
+                         public_tokenizers.path("word_bpe_49k.json"), end_id=1, max_len=4096)
+    return packing.pack(cut, 4096)
+
+
+@query("op8_sharding")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return kdtree.shard(table(spark, d, "documents"), n_shards=40, overhead=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

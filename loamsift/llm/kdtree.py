@@ -1,19 +1,18 @@
 """Sharding by a k-d tree over document metadata, in DataFrame operations only.
 
-Every document is a point: size, checksum of the source, checksum of the language, checksum of
-the text. A node that is to hold several leaves is split along its widest dimension, measured
+Every document is a point of metadata: bytes, bytes per character, lines, checksum of the text. A node that is to hold several leaves is split along its widest dimension, measured
 against the whole table, at the weighted median for its leaves on either side; splitting goes
 on until each leaf is one shard. Weighted medians are found for all nodes of a level together:
 a histogram of ``BINS`` bins a node is summed map-side and brought to the driver, and the bin
 that holds the median is refined. Equal values go on to the text checksum, so copies stay
-together, and only a group of copies heavier than the tolerance is split by a hash of doc_id:
-a group with a third of all rows is thus spread over as many shards as it fills.
+together, and only a group of copies that would unbalance a cut by more than ``GROUP_SLACK``
+is split by a hash of doc_id: a group with a third of all rows is thus spread over as many
+shards as it fills.
 
 What reaches the driver is bounded by ``BINS`` times the number of shards. The narrow points
 are written once; texts are read once.
 
-Defined cases: null text has no bytes and the checksum of an empty text; null source or language is a
-value of its own; repeated rows are placed one by one; null doc_id hashes like a value; other
+Defined cases: null text has no bytes and the checksum of an empty text; repeated rows are placed one by one; null doc_id hashes like a value; other
 columns are left out; an empty table gives no rows.
 """
 
@@ -26,6 +25,7 @@ from loamsift.session import stash
 
 BINS = 1024
 TOLERANCE = 0.002  # of a shard: a cut this near to the median is not refined
+GROUP_SLACK = 0.02  # of a shard: a cut beside a group of copies may be this far off
 SLOT_ROWS = 20_000  # rows numbered by one window group, about
 DIMENSIONS = ("c0", "c1", "c2", "c3")
 _HASH_BITS = 62
@@ -33,12 +33,14 @@ _HASH_BITS = 62
 
 def points(docs: DataFrame, overhead: int) -> DataFrame:
     """(doc_id, size, text_crc32, c0..c3, h): a row's weight, its coordinates and a tie-breaker."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    code = lambda c: F.coalesce(F.crc32(F.col(c).cast("binary")), F.lit(-1)).cast("long")
-    size = (F.length(text) + overhead).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + overhead).cast("long")
+    wide = F.floor(F.octet_length(text) * 1000 / F.greatest(F.length(text), F.lit(1)))
     return docs.select(
-        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), size.alias("c0"),
-        code("source").alias("c1"), code("lang").alias("c2"), F.crc32(text).alias("c3"),
+        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        size.alias("c0"), wide.cast("long").alias("c1"),
+        F.regexp_count(text, F.lit("\n")).cast("long").alias("c2"),
+        F.crc32(text.cast("binary")).alias("c3"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _HASH_BITS).alias("h"))
 
 
@@ -54,7 +56,7 @@ class Node:
         self.dim, self.stage, self.fixed = dim, 0, [0, 0]
         self.low, self.high, self.base = low, high, 0
         self.goal = weight * (self.leaves // 2) / self.leaves
-        self.slack = TOLERANCE * weight / self.leaves
+        self.leaf = weight / self.leaves
 
     def width(self) -> int:
         return -(-(self.high - self.low + 1) // BINS)
@@ -68,7 +70,9 @@ class Node:
             before += b["w"]
         under, over = self.goal - before, before + b["w"] - self.goal
         pinned = b["least"] == b["most"]
-        if min(under, over) <= self.slack or b["n"] == 1 or (pinned and self.stage == 2):
+        copies = pinned and (self.stage == 1 or self.dim == len(DIMENSIONS) - 1)
+        slack = (GROUP_SLACK if copies else TOLERANCE) * self.leaf
+        if min(under, over) <= slack or b["n"] == 1 or (pinned and self.stage == 2):
             value = b["least"] if under <= over else b["most"] + 1
             self.cut = tuple([*self.fixed[:self.stage], value, 0, 0][:3])
         elif not pinned:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, kdtree, lines, neardup, packing
+from loamsift.llm import contain, kdtree, lines, neardup, packing, topk
 from loamsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return kdtree.shard(table(spark, d, "documents"), n_shards=40, overhead=16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_exact_topk", """WITH v AS (SELECT vec_id, list_transform(embedding,
+  lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v),
+  lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+  AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, kdtree, lines, neardup, packing, topk
+from loamsift.llm import contain, kdtree, lines, neardup, packing, topk, warc
 from loamsift.llm.common import table
+from loamsift.session import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +115,31 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+_DAMAGE = """CASE WHEN page_id % 50 = 7 THEN 'missing' WHEN page_id % 50 = 11 THEN 'changed'
+  WHEN page_id % 50 = 13 THEN 'extra' END"""
+
+
+@query("op6_warc_fixity", f"""WITH p AS (SELECT page_id, {_DAMAGE} AS finding,
+  page_id // 256 AS segment, 128 + strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, ''))
+  + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS n FROM pages),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY segment ORDER BY page_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM p)
+SELECT segment, CAST(began + CASE finding WHEN 'extra' THEN 1 ELSE 0 END AS BIGINT) AS "offset",
+  finding, CAST(CASE finding WHEN 'extra' THEN NULL ELSE n END AS BIGINT) AS length,
+  CAST(CASE finding WHEN 'missing' THEN NULL ELSE n END AS BIGINT) AS replica_length
+FROM o WHERE finding IS NOT NULL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """An archive of all pages and its written replica, damaged by page_id: lost records, records
+    with one byte changed, and records that stand a second time one byte further on."""
+    original = stash(warc.archive(table(spark, d, "pages")), "archive")
+    harm = F.expr(_DAMAGE)
+    record = F.col("record")
+    hurt = F.when(harm.eqNullSafe("changed"), F.expr(
+        "concat(substring(record, 1, 8), X'00', substring(record, 10))")).otherwise(record)
+    copy = original.where(~harm.eqNullSafe("missing")).select(
+        "segment", "offset", hurt.alias("record"))
+    extra = original.where(harm.eqNullSafe("extra")).select(
+        "segment", (F.col("offset") + 1).alias("offset"), "record")
+    return warc.audit(original, stash(copy.unionByName(extra), "replica"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, kdtree, lines, neardup, packing, topk, warc
-from loamsift.llm.common import table
+from loamsift.llm import contain, kdtree, lines, neardup, packing, quality, topk, toxicity, warc
+from loamsift.llm.common import held_out, table
 from loamsift.session import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     extra = original.where(harm.eqNullSafe("extra")).select(
         "segment", (F.col("offset") + 1).alias("offset"), "record")
     return warc.audit(original, stash(copy.unionByName(extra), "replica"))
+
+
+def _classified(scored: DataFrame, cut: float) -> DataFrame:
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score",
+                         (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@query("op4_quality")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"), ~held_out(4, 2))
+    return _classified(quality.score(docs, model), 0.7)
+
+
+@query("op10_toxicity")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels"), ~held_out(4, 2))
+    return _classified(toxicity.score(docs, model), 0.3)

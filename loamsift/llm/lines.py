@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loamsift.llm.common import SPACE, arrow_map, text_bytes
 from loamsift.session import stash
@@ -192,20 +194,52 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
+def _with_bitmaps(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool) -> DataFrame:
+    """``docs`` with a column ``_keep``; all columns stay."""
+    maps = keep_bitmaps(dropped_lines(docs, min_docs, min_chars, keep_first)).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_map_hash"),
+        F.col("keep").alias("_keep"))
+    own = docs.withColumn("_hash", F.xxhash64("text"))
+    return own.join(maps, F.col("doc_id").eqNullSafe(F.col("_id"))
+                    & (F.col("_hash") == F.col("_map_hash")), "left").drop("_id", "_hash", "_map_hash")
+
+
+def _kept(text: pa.Array, keep: pa.Array) -> tuple[pa.Array, list[int], list[int]]:
+    out = [apply_bitmap(t, k) for t, k in zip(text_bytes(text), keep.to_pylist(), strict=True)]
+    kept = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
+    return kept, [x[1] for x in out], [x[2] for x in out]
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                 keep_first: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of every row, with the text that stays."""
-    maps = keep_bitmaps(dropped_lines(docs, min_docs, min_chars, keep_first)).select(
-        F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "keep")
-    both = _identified(docs).join(
-        maps, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")),
-        "left").select("doc_id", "text", "keep")
+    both = _with_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out = [apply_bitmap(t, k) for t, k in zip(text_bytes(b["text"]),
-                                                      b["keep"].to_pylist(), strict=True)]
-            yield {"doc_id": b["doc_id"], "text": pa.array([x[0] for x in out], pa.binary()).cast(pa.string()),
-                   "n_lines": [x[1] for x in out], "n_dropped": [x[2] for x in out]}
+            text, n_lines, n_dropped = _kept(b["text"], b["_keep"])
+            yield {"doc_id": b["doc_id"], "text": text, "n_lines": n_lines, "n_dropped": n_dropped}
     return arrow_map(both, run, f"doc_id {kind}, text string, n_lines long, n_dropped long")
+
+
+def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
+                  keep_first: bool = False) -> DataFrame:
+    """``docs`` without the repeated lines, all columns kept; ``n_chars`` follows the text."""
+    both = _with_bitmaps(docs, min_docs, min_chars, keep_first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, _, dropped = _kept(b["text"], b["_keep"])
+            text = pc.if_else(pc.is_null(b["text"]), pa.scalar(None, pa.string()), text)
+            changed = pa.array(np.array(dropped, bool))
+            columns = {}
+            for f in target:
+                columns[f.name] = b[f.name]
+                if f.name == "text":
+                    columns[f.name] = text.cast(f.type)
+                elif f.name == "n_chars":
+                    columns[f.name] = pc.if_else(changed, pc.utf8_length(text).cast(f.type), b[f.name])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=target)
+    target = to_arrow_schema(docs.schema)
+    return both.mapInArrow(run, docs.schema)

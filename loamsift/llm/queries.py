@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, kdtree, lines, neardup, packing, quality, topk, toxicity, warc
+from loamsift.llm import contain, kdtree, lines, neardup, ngram, packing, quality, topk, toxicity, warc
 from loamsift.llm.common import held_out, table
 from loamsift.session import stash
 
@@ -162,3 +162,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = toxicity.fit(docs, table(spark, d, "labels"), ~held_out(4, 2))
     return _classified(toxicity.score(docs, model), 0.3)
+
+
+@query("op3_lm_score")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    scored = ngram.score(table(spark, d, "documents"), ~held_out(10, 0))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")

@@ -62,31 +62,33 @@ def match_specs(repos: DataFrame, specs: DataFrame) -> DataFrame:
             .where(F.col("stars") > F.col("min_stars")).drop("_language", "_topic", "min_stars"))
 
 
-def pages_per_spec(matches: DataFrame) -> DataFrame:
-    """At most three pages of thirty repos per search, most stars first."""
-    return top_per_group(matches, ["spec_id"], [F.desc("stars"), "full_name"],
-                         fixed.PAGES_PER_SPEC * fixed.REPOS_PER_PAGE)
+def pages_per_spec(matches: DataFrame,
+                   limit: int | None = fixed.PAGES_PER_SPEC * fixed.REPOS_PER_PAGE) -> DataFrame:
+    """At most three pages of thirty repos per search, most stars first; None: no limit."""
+    return matches if limit is None else top_per_group(
+        matches, ["spec_id"], [F.desc("stars"), "full_name"], limit)
 
 
 def first_match_per_repo(matches: DataFrame) -> DataFrame:
     return first_per_key(matches, ["full_name"], ["spec_id", F.desc("stars")])
 
 
-def top_repos(repos: DataFrame, n: int = fixed.TOP_REPOS) -> DataFrame:
-    return repos.orderBy(F.desc("stars"), "full_name").limit(n)
+def top_repos(repos: DataFrame, n: int | None = fixed.TOP_REPOS) -> DataFrame:
+    """The ``n`` repos with most stars; None: all."""
+    return repos if n is None else repos.orderBy(F.desc("stars"), "full_name").limit(n)
 
 
-def of_repos(issues: DataFrame, repos: DataFrame, bound: int | None = fixed.TOP_REPOS) -> DataFrame:
-    """Issues of the selected repos. ``bound`` is the proven size of ``repos``."""
+def of_repos(issues: DataFrame, repos: DataFrame) -> DataFrame:
+    """Issues of the selected repos. No hint: Spark picks by the size of ``repos``."""
     dim = repos.select(F.col("full_name").alias("repo"), "stars", "issues")
-    small = bound is not None and bound <= 100_000
-    return issues.join(F.broadcast(dim) if small else dim, "repo")
+    return issues.join(dim, "repo")
 
 
-def pages_per_alias(rows: DataFrame) -> DataFrame:
-    """At most ten pages of a hundred issues per (repo, alias), newest first."""
-    return top_per_group(rows, ["repo", "alias"], [F.desc("updated_at"), "id"],
-                         fixed.PAGES_PER_ALIAS * fixed.ISSUES_PER_PAGE)
+def pages_per_alias(rows: DataFrame,
+                    limit: int | None = fixed.PAGES_PER_ALIAS * fixed.ISSUES_PER_PAGE) -> DataFrame:
+    """At most ten pages of a hundred issues per (repo, alias), newest first; None: no limit."""
+    return rows if limit is None else top_per_group(
+        rows, ["repo", "alias"], [F.desc("updated_at"), "id"], limit)
 
 
 def first_per_id(rows: DataFrame) -> DataFrame:

@@ -123,8 +123,11 @@ def guard_record(title: str | None, body: str | None) -> None:
         raise ValueError("give at least a title or a body")
 
 
-def emit_record(df: DataFrame) -> DataFrame:
-    """Collected row: stripped title, stripped and cut body, canonical label."""
-    return df.select(
-        "id", "repo", strip("title").alias("title"),
-        prefix(F.coalesce(strip("body"), F.lit("")), fixed.MAX_BODY_CHARS).alias("body"), "label")
+def emit_record(df: DataFrame, max_chars: int | None = fixed.MAX_BODY_CHARS) -> DataFrame:
+    """Collected row: stripped title, stripped body of at most ``max_chars``, canonical label.
+
+    ``max_chars`` None keeps whole bodies.
+    """
+    body = F.coalesce(strip("body"), F.lit(""))
+    return df.select("id", "repo", strip("title").alias("title"),
+                     (body if max_chars is None else prefix(body, max_chars)).alias("body"), "label")

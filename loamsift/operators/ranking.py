@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamsift.functions.text import digest
+from loamsift.session import stash
+
 # Sub-groups a large group is ranked in first.
 SPREAD = 1024
-# Ids we are willing to broadcast: 8 bytes each, so at most about 40 MB.
-MAX_BROADCAST_IDS = 5_000_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[Column | str],
@@ -28,8 +28,14 @@ def first_per_key(df: DataFrame, keys: Sequence[Column | str],
 
 def dedup_texts(df: DataFrame, texts: Sequence[str], also: Sequence[str] = (),
                 order: str = "row_id") -> DataFrame:
-    """Exact dedup on text columns; the hash in front keeps comparisons short."""
-    return first_per_key(df, [F.xxhash64(*texts), *also, *texts], [order])
+    """Exact dedup on text columns by 256-bit digests; only narrow rows are ranked.
+
+    ``order`` is a unique id; the kept ids select the rows, so texts are not shuffled to be
+    compared.
+    """
+    keys = df.select(order, *also, *[digest(t).alias(f"_{t}") for t in texts])
+    first = first_per_key(keys, [*also, *[f"_{t}" for t in texts]], [order])
+    return df.join(first.select(order), order, "left_semi")
 
 
 def dedup_title_body(df: DataFrame) -> DataFrame:
@@ -39,7 +45,10 @@ def dedup_title_body(df: DataFrame) -> DataFrame:
 
 def dedup_title_then_body(df: DataFrame) -> DataFrame:
     """First of (title, label), then, among those, first of (body, label)."""
-    return dedup_texts(dedup_texts(df, ["title"], ["label"]), ["body"], ["label"])
+    keys = df.select("row_id", "label", digest("title").alias("_t"), digest("body").alias("_b"))
+    first = first_per_key(first_per_key(keys, ["label", "_t"], ["row_id"]), ["label", "_b"],
+                          ["row_id"])
+    return df.join(first.select("row_id"), "row_id", "left_semi")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
@@ -63,10 +72,9 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return ranked.drop("_rn")
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, id_col: str, bound: int | None) -> DataFrame:
-    """Rows of ``df`` whose id is in ``ids``; broadcast only below a proven bound."""
-    small = bound is not None and bound <= MAX_BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, id_col, "left_semi")
+def restrict_to(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id is in ``ids``. No hint: Spark picks by the size of ``ids``."""
+    return df.join(ids, id_col, "left_semi")
 
 
 def cap_per_label(df: DataFrame, cap: int, labels: Sequence[str], size: Column,
@@ -78,7 +86,7 @@ def cap_per_label(df: DataFrame, cap: int, labels: Sequence[str], size: Column,
     narrow = df.where(F.col("label").isin(*labels)).select(
         id_col, "label", size.alias("_size"))
     kept = top_per_group(narrow, ["label"], [F.desc("_size"), id_col], cap).select(id_col)
-    return restrict_to(df, kept, id_col, cap * len(labels))
+    return restrict_to(df, kept, id_col)
 
 
 def within_quota(counts: DataFrame, target: int, have: DataFrame | None = None) -> DataFrame:
@@ -103,22 +111,19 @@ def shuffled(df: DataFrame, seed: int, id_col: str = "row_id") -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
 
 
-def dense_index(df: DataFrame, id_col: str = "row_id", buckets: int = 256,
-                out: str = "index") -> DataFrame:
+def dense_index(df: DataFrame, id_col: str = "row_id", out: str = "index") -> DataFrame:
     """0-based dense index in id order without sorting everything in one task.
 
-    Quantiles of the id (at most ``buckets`` numbers) cut the rows into ordered
-    buckets of similar size. A bucket's offset is the row count of the buckets
-    before it, and rows are numbered inside their bucket only.
+    Rows are range-partitioned by id and stored; a partition's offset is the row count of
+    those before it (one number a partition), and rows are numbered inside theirs. The
+    number of partitions is that of the session's shuffles, so it grows with the cluster.
     """
-    keyed = df.withColumn("_id", F.col(id_col).cast("double"))
-    cuts = keyed.approxQuantile("_id", [i / buckets for i in range(1, buckets)], 0.001)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(keyed)
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(id_col)) - 1
-    return (placed.withColumn("_inside", inside).join(F.broadcast(offsets), "_bucket")
+    placed = stash(df.repartitionByRange(id_col).withColumn("_part", F.spark_partition_id()),
+                   "ranges")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(id_col)) - 1
+    return (placed.withColumn("_inside", inside).join(offsets, "_part")
             .withColumn(out, F.col("_offset") + F.col("_inside"))
-            .drop("_id", "_bucket", "_inside", "_offset"))
+            .drop("_part", "_inside", "_offset"))

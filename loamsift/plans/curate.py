@@ -35,7 +35,7 @@ class Recipe(NamedTuple):
     min_body_words: int
     english: language.EnglishTest
     dedup_keys: tuple[tuple[str, ...], ...]
-    cap: int
+    cap: int | None  # rows per label; None: all
     shuffle_seed: int | None
     required: tuple[str, ...]
     stages: tuple[str, ...]
@@ -103,14 +103,15 @@ def survivors(v: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def balanced(unique: DataFrame, recipe: Recipe) -> DataFrame:
-    """Per label the longest bodies up to the cap; ties go to the lower row_id."""
-    return top_per_group(unique.select("row_id", "label", "body_words", "complete"),
-                         ["label"], [F.desc("body_words"), "row_id"], recipe.cap)
+    """Per label the longest bodies up to the cap, if any; ties go to the lower row_id."""
+    narrow = unique.select("row_id", "label", "body_words", "complete")
+    return narrow if recipe.cap is None else top_per_group(
+        narrow, ["label"], [F.desc("body_words"), "row_id"], recipe.cap)
 
 
 def finish(raw: DataFrame, kept_ids: DataFrame, recipe: Recipe) -> DataFrame:
-    """Clean the kept rows for output; at most cap x labels rows."""
-    rows = restrict_to(raw, kept_ids, "row_id", recipe.cap * len(recipe.labels))
+    """Clean the kept rows for output."""
+    rows = restrict_to(raw, kept_ids, "row_id")
     rows = rows.select("row_id", "repo", "title", "body", gates.normalised_label().alias("label"))
     out = gates.complete_rows(cleaning.clean(rows, recipe.cleaners), recipe.required,
                               recipe.labels)
@@ -123,9 +124,12 @@ def ordered(result: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def curate(raw: DataFrame, recipe: Recipe) -> DataFrame:
-    """Curated rows (row_id, repo, title, body, label) as one lazy plan."""
-    kept = balanced(survivors(verdicts(raw, recipe), recipe), recipe)
-    return ordered(finish(raw, kept.select("row_id"), recipe), recipe)
+    """Curated rows (row_id, repo, title, body, label).
+
+    Verdicts and the result are stored on the way, so neither ranking nor the final order
+    cleans a text again: one pass over all texts and one over those kept.
+    """
+    return Curation(raw, recipe).result()
 
 
 class Curation:

@@ -65,13 +65,3 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one hash shuffle, else leave it alone.
-
-    A table of a few row groups would be cleaned by a few tasks. A large table has
-    more splits than the cluster has cores and keeps its scan partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from loamsift import fixed
+from loamsift.session import stash
 from loamsift.sources import schemas
 
 # Quotes are doubled, bodies may hold newlines, blanks are data.
 CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+            "enforceSchema": "false"}
 
 
 def na_to_null(c: Column) -> Column:
@@ -37,15 +39,14 @@ def require_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """All-text CSV scan with header clean-up and missing-value tokens as NULL.
 
-    With ``columns`` (the file's header, in order) the scan needs no look at the
-    data; without, Spark reads the header line only. Multi-line CSV is read one
-    file per task, so large inputs should come as many files.
+    Columns are bound by the header's names, whatever their order; ``columns`` picks some of
+    them and fails when one is missing. Files whose headers differ are refused. Multi-line CSV
+    is read one file per task, so large inputs should come as many files.
     """
-    reader = spark.read.options(**CSV_READ)
+    df = normalise_header(spark.read.options(**CSV_READ).csv(path))
     if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = normalise_header(reader.csv(path))
-    return df.select([na_to_null(F.col(c)).alias(c) for c in df.columns])
+        df = require_columns(df, columns)
+    return df.select([na_to_null(F.col(c)).alias(c) for c in columns or df.columns])
 
 
 def read_issue_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -61,12 +62,22 @@ def read_issue_pages(spark: SparkSession, path: str, multi_line: bool = False) -
 
 
 def store_with_row_ids(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet with a ``row_id`` and read it back.
+    """Write the rows of a file scan as Parquet with a ``row_id`` and read them back.
 
-    Ids follow the order inside each scan partition and are fixed from here on; within
-    one multi-line CSV file that is the file order.
+    Ids count from 0 in the order of (file path, position in the file), so a lower id is an
+    earlier row however Spark packs files into tasks. A block of a file is read by one task
+    in order: its first id follows from the row counts of the blocks before it.
     """
-    df.withColumn("row_id", F.monotonically_increasing_id()).write.mode("errorifexists").parquet(path)
+    tagged = stash(df.withColumns({
+        "_file": F.input_file_name(), "_block": F.input_file_block_start(),
+        "_at": F.monotonically_increasing_id()}), "tagged")
+    blocks = tagged.groupBy("_file", "_block").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    tagged.join(blocks, ["_file", "_block"]).withColumn(
+        "row_id", F.col("_offset") + F.col("_at") - F.col("_first")).select(
+        *df.columns, "row_id").write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

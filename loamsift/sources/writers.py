@@ -20,9 +20,14 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_report(report: DataFrame, path: str) -> None:
     """Report rows (section, line, metric, value) as aligned text, in order.
 
-    A report has one row per stage, label and figure, so one file is enough.
+    A report has one row per stage, label and figure, so one file is enough. Longer
+    entries are written whole and only lose the alignment.
     """
-    text = F.concat(F.rpad("section", 14, " "), F.rpad("metric", 34, " "), F.lpad("value", 14, " "))
+    def padded(name: str, width: int, left: bool = False):
+        fill = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(name)))
+        return F.concat(fill, F.col(name)) if left else F.concat(F.col(name), fill)
+    text = F.concat(padded("section", 14), F.lit(" "), padded("metric", 34), F.lit(" "),
+                    padded("value", 14, left=True))
     (report.orderBy("section", "line").select(text.alias("value")).coalesce(1)
      .write.mode("overwrite").text(path))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.functions import scores
 from loamsift.operators import discovery, gates, scoring, summary
+from loamsift.operators.ranking import first_per_key
 from loamsift.plans import collect as collecting
 from loamsift.plans import curate as curation
 from loamsift.plans import score as scoreplan
@@ -35,10 +36,22 @@ def _(spark, d):
     raw = issues(spark, d).selectExpr(
         "row_id", "repo", "CASE WHEN comments = 3 THEN 'N/A' ELSE title END AS title",
         "CASE WHEN comments = 1 THEN 'nan' WHEN comments = 2 THEN '' ELSE body END AS body")
-    writers.write_csv(raw, path)
+    writers.write_csv(raw.select("body", "title", "row_id", "repo"), path)  # another order
     return readers.read_csv(spark, path, ("row_id", "repo", "title", "body"))
 
 
+@query("S01_file_order", f"""{_I} SELECT repo, title FROM issues
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY row_id % 10 <> 0, row_id) = 1""")
+def _(spark, d):
+    """A small file and a large one: the row of the earlier file wins a tie."""
+    path = scratch_path(spark, "ordered-csv")
+    for name, part in (("a", "row_id % 10 = 0"), ("b", "row_id % 10 <> 0")):
+        rows = issues(spark, d).where(part).select("row_id", "repo", "title").repartition(1)
+        writers.write_csv(rows.sortWithinPartitions("row_id").drop("row_id"), f"{path}/{name}")
+    stored = readers.store_with_row_ids(readers.read_csv(spark, f"{path}/*"), f"{path}-stored")
+    return first_per_key(stored, ["repo"], ["row_id"]).select("repo", "title")
+
+
 @query("S02_header", f"{_I} SELECT repo, title, label FROM issues")
 def _(spark, d):
     df = issues(spark, d).select(F.col("repo").alias(" Repo"), F.col("title").alias("TITLE "),
@@ -235,12 +248,20 @@ UNION ALL SELECT '3 classes', label, format('{{:,}}', count(*)) || ' (' || print
   round_even(100.0 * count(*) / sum(count(*)) OVER (), 1)) || '%)' FROM va GROUP BY label
 UNION ALL SELECT '4 balance', 'balance_ratio', printf('%.2f', max(n) / min(n))
   FROM (SELECT count(*) AS n FROM va GROUP BY label)
+UNION ALL SELECT '5 words', c || '_' || stat, v FROM (SELECT c, unnest(['mean', 'median', 'min', 'max']) AS stat,
+  unnest([printf('%.1f', round_even(round(avg(n), 9), 1)), printf('%.1f', round_even(median(n), 1)),
+  printf('%.1f', CAST(min(n) AS DOUBLE)), printf('%.1f', CAST(max(n) AS DOUBLE))]) AS v FROM (
+  SELECT 'title' AS c, {duck.wc('title')} AS n FROM va UNION ALL SELECT 'body', {duck.wc('body')} FROM va)
+  GROUP BY c)
 UNION ALL SELECT '6 leak', 'placeholders', CAST(sum(len(regexp_extract_all(body,
   '\\[(CODE|URL|VERSION|FILEPATH|HASH)\\]'))) AS BIGINT)::VARCHAR FROM va
-UNION ALL SELECT '7 cells', 'nulls', '0' UNION ALL SELECT '7 cells', 'empties', '0'""")
+UNION ALL SELECT '7 cells', 'nulls', CAST(sum((repo IS NULL)::INT + (title IS NULL)::INT
+  + (body IS NULL)::INT + (label IS NULL)::INT) AS BIGINT)::VARCHAR FROM va
+UNION ALL SELECT '7 cells', 'empties', CAST(sum((trim(repo) = '')::INT + (trim(title) = '')::INT
+  + (trim(body) = '')::INT + (trim(label) = '')::INT) AS BIGINT)::VARCHAR FROM va""")
 def _(spark, d):
-    report = curation.Curation(issues(spark, d), curation.FINAL).report()
-    return report.where("section <> '5 words'").select("section", "metric", "value")
+    return curation.Curation(issues(spark, d), curation.FINAL).report().select(
+        "section", "metric", "value")
 
 
 # --- collecting ------------------------------------------------------------
@@ -248,24 +269,51 @@ _SOURCES = """SELECT repo AS full_name, count(*) AS stars, count(*) * 2 AS issue
   GROUP BY repo"""
 
 
-@query("collect_records", f"""{_I}, aliases AS ({ALIAS_DIM}), dim AS ({_SOURCES}),
+def _collect_run(run: str, target: int, seen: str, done: str, have: str) -> str:
+    """CTEs of one collecting run; ``{run}em`` has its rows, ``{run}tk`` its finished pairs.
+
+    ``seen``, ``done`` and ``have`` are tables (id), (label, repo) and (label, have).
+    """
+    parts = [f"""{run}x AS (SELECT x.*, coalesce(h.have, 0) AS have FROM x LEFT JOIN {have} h
+  ON h.label = x.label WHERE coalesce(h.have, 0) < {target}
+  AND NOT EXISTS (SELECT 1 FROM {done} d WHERE d.label = x.label AND d.repo = x.repo)),
+{run}pg AS (SELECT * FROM {run}x QUALIFY row_number() OVER (PARTITION BY repo, alias
+  ORDER BY id DESC) <= 1000),
+{run}uq AS (SELECT * FROM {run}pg QUALIFY row_number() OVER (
+  PARTITION BY id, label ORDER BY alias_rank) = 1),
+{run}ns AS (SELECT * FROM {run}uq WHERE id NOT IN (SELECT id FROM {seen})),
+{run}gt AS (SELECT *, {duck.strip('title')} AS t, {duck.strip('body')} AS b FROM {run}ns),
+{run}rj AS (SELECT *, {duck.REASON} AS reason FROM {run}gt)"""]
+    emitted, taken = [], []
+    for i, label in enumerate(fixed.LABELS_COLLECT):
+        n = f"{run}{i}"
+        before = "".join(f" AND id NOT IN (SELECT id FROM {e})" for e in emitted)
+        parts.append(f"""{n}cp AS (SELECT * FROM {run}rj WHERE reason IS NULL AND label = {duck.q(label)}{before}
+  QUALIFY row_number() OVER (PARTITION BY repo ORDER BY alias_rank, id DESC)
+  <= least(30, greatest(20, issues // 5))),
+{n}ct AS (SELECT l.repo, l.stars, l.have, count(c.id) AS n FROM (SELECT DISTINCT repo, stars, have
+  FROM {run}ns WHERE label = {duck.q(label)}) l LEFT JOIN {n}cp c ON c.repo = l.repo GROUP BY ALL),
+{n}tk AS (SELECT {duck.q(label)} AS label, repo FROM (SELECT *, coalesce(sum(n) OVER (
+  ORDER BY stars DESC, repo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {n}ct) WHERE before + have < {target}),
+{n}em AS (SELECT * FROM {n}cp WHERE repo IN (SELECT repo FROM {n}tk))""")
+        emitted.append(f"{n}em")
+        taken.append(f"{n}tk")
+    union = lambda names: " UNION ALL ".join(f"SELECT * FROM {x}" for x in names)
+    return ",\n".join([*parts, f"{run}em AS ({union(emitted)})", f"{run}tk AS ({union(taken)})"])
+
+
+_COLLECT = f"""{_I}, aliases AS ({ALIAS_DIM}), dim AS (SELECT repo AS full_name, count(*) AS stars,
+  count(*) * 2 AS issues FROM issues GROUP BY repo),
 x AS (SELECT i.* EXCLUDE (label), a.label, a.label_rank, a.alias_rank, a.alias, r.stars, r.issues
   FROM (SELECT *, unnest([alias1, alias2]) AS al FROM issues WHERE state = 'closed') i
   JOIN aliases a ON a.alias = i.al JOIN dim r ON r.full_name = i.repo),
-pg AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY repo, alias ORDER BY id DESC) <= 1000),
-uq AS (SELECT * FROM pg QUALIFY row_number() OVER (
-  PARTITION BY id ORDER BY label_rank, alias_rank) = 1),
-ns AS (SELECT * FROM uq WHERE id NOT IN (SELECT doc_id FROM labels)),
-gt AS (SELECT *, {duck.strip('title')} AS t, {duck.strip('body')} AS b FROM ns),
-gd AS (SELECT * FROM gt WHERE ({duck.REASON}) IS NULL),
-cp AS (SELECT * FROM gd QUALIFY row_number() OVER (PARTITION BY repo, label
-  ORDER BY alias_rank, id DESC) <= least(30, greatest(20, issues // 5))),
-ct AS (SELECT label, repo, stars, count(*) AS n FROM cp GROUP BY ALL),
-bf AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY stars DESC, repo
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ct)
-SELECT cp.id, cp.repo, cp.t AS title, left(cp.b, 10000) AS body, cp.label FROM cp
-JOIN bf ON bf.label = cp.label AND bf.repo = cp.repo WHERE bf.before < 25""")
-def _(spark, d):
+seen0 AS (SELECT doc_id AS id FROM labels), done0 AS (SELECT label, repo FROM x WHERE false),
+have0 AS (SELECT DISTINCT label, 0 AS have FROM aliases)"""
+_EMITTED = "id, repo, t AS title, left(b, 10000) AS body, label"
+
+
+def _landed(spark, d):
     df = issues(spark, d).drop("label").withColumn(
         "labels", F.array("alias1", "alias2")).withColumn("updated_at", F.timestamp_seconds("id"))
     dim = df.groupBy(F.col("repo").alias("full_name")).agg(
@@ -273,16 +321,40 @@ def _(spark, d):
     seen = views.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     done = spark.createDataFrame([], "label string, repo string")
     have = discovery.label_dim(spark).select("label", F.lit(0).cast("long").alias("have"))
-    top = discovery.top_repos(dim)
-    return collecting.collect(df, top, discovery.alias_dim(spark), seen, done, have,
-                              target=25).rows
+    return df, discovery.top_repos(dim), discovery.alias_dim(spark), seen, done, have
+
+
+@query("collect_records", f"""{_COLLECT}, {_collect_run('a', 25, 'seen0', 'done0', 'have0')}
+SELECT {_EMITTED} FROM aem""")
+def _(spark, d):
+    return collecting.collect(*_landed(spark, d), target=25).rows
+
+
+@query("collect_resumed", f"""{_COLLECT}, {_collect_run('a', 8, 'seen0', 'done0', 'have0')},
+seen1 AS (SELECT id FROM seen0 UNION SELECT id FROM aem UNION SELECT id FROM arj WHERE reason IS NOT NULL),
+have1 AS (SELECT label, count(*) AS have FROM aem GROUP BY label),
+{_collect_run('b', 25, 'seen1', 'atk', 'have1')}
+SELECT 1 AS run, {_EMITTED} FROM aem UNION ALL SELECT 2, {_EMITTED} FROM bem""")
+def _(spark, d):
+    """A run with a small target, its state stored, and a run with a larger one that reads it."""
+    df, repos_, aliases, seen, done, have = _landed(spark, d)
+    path = scratch_path(spark, "collect-state")
+    first = collecting.collect(df, repos_, aliases, seen, done, have, target=8)
+    writers.save_state(path, seen.unionByName(first.seen.select("id")), first.done)
+    seen1, done1 = readers.read_state(spark, path)
+    have1 = first.rows.groupBy("label").agg(F.count("*").alias("have"))
+    second = collecting.collect(df, repos_, aliases, seen1, done1, have1, target=25)
+    return first.rows.withColumn("run", F.lit(1)).unionByName(
+        second.rows.withColumn("run", F.lit(2)))
 
 
 # --- scoring ---------------------------------------------------------------
 LABELS = fixed.LABELS_MODEL
-_SOFT = """WITH e AS (SELECT vec_id, label AS given, CAST(embedding[1] AS DOUBLE) AS x1,
-  CAST(embedding[2] AS DOUBLE) AS x2, CAST(embedding[3] AS DOUBLE) AS x3,
-  CAST(embedding[4] AS DOUBLE) AS x4, CAST(embedding[5] AS DOUBLE) AS x5 FROM embeddings),
+# five logits, each the sum of a block of the vector's 64 values
+_BLOCKS = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
+_SUMS = ", ".join(f"list_sum(list_transform(embedding[{a}:{a + n - 1}], lambda v: CAST(v AS DOUBLE)))"
+                  f" AS x{i}" for i, (a, n) in enumerate(_BLOCKS, 1))
+_SOFT = f"""WITH e AS (SELECT vec_id, label AS given, {_SUMS} FROM embeddings),
 m AS (SELECT *, greatest(x1, x2, x3, x4, x5) AS hi FROM e),
 z AS (SELECT *, exp(x1 - hi) AS z1, exp(x2 - hi) AS z2, exp(x3 - hi) AS z3, exp(x4 - hi) AS z4,
   exp(x5 - hi) AS z5 FROM m),
@@ -295,9 +367,14 @@ s AS (SELECT *, greatest(p1, p2, p3, p4, p5) AS best,
 _WIDE = ", ".join(f'round_even(p{i} * 100, 1) AS "score_{x}"' for i, x in enumerate(LABELS, 1))
 
 
+def _logits():
+    return F.array(*[F.aggregate(F.slice("embedding", a, n), F.lit(0.0),
+                                 lambda t, v: t + v.cast("double")) for a, n in _BLOCKS])
+
+
 def _vectors(spark, d):
     return views.table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").alias("given"), F.slice("embedding", 1, len(LABELS)).alias("e"))
+        "vec_id", F.col("label").alias("given"), _logits().alias("e"), "embedding")
 
 
 def _decoded(spark, d):
@@ -342,10 +419,14 @@ def _(spark, d):
 round_even(best * 100, 1) AS confidence FROM s""")
 def _(spark, d):
     def load():
-        """A stand-in model: its logits are the vector it is given."""
+        """A linear model over the whole vector: its weights pick the blocks."""
         import numpy as np
-        return lambda batch: np.stack(batch.to_numpy())
-    scored = scoring.with_logits(_vectors(spark, d), F.col("e"), load, len(LABELS))
+        weights = np.zeros((64, len(blocks)))
+        for i, (start, n) in enumerate(blocks):
+            weights[start - 1:start - 1 + n, i] = 1
+        return lambda batch: np.stack(batch.to_numpy()).astype("float64") @ weights
+    blocks = _BLOCKS
+    scored = scoring.with_logits(_vectors(spark, d), F.col("embedding"), load, len(LABELS))
     return scoring.decode_logits(scored, "logits", LABELS).select(
         "vec_id", "predicted_label", "confidence")
 
@@ -494,7 +575,7 @@ def _(spark, d):
     out, stream = scratch_path(spark, "scored"), _stream(spark, d, "embeddings")
 
     def to_log(df):
-        rows = df.select("vec_id", F.slice("embedding", 1, len(LABELS)).alias("e"))
+        rows = df.select("vec_id", _logits().alias("e"))
         return scoring.log_entries(scoring.decode_logits(rows, "e", LABELS), "single",
                                    F.col("vec_id").cast("string"))
     streams.score_stream(stream, out, scratch_path(spark, "ckpt"), to_log).awaitTermination()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.functions import scores, text
 from loamsift.operators import discovery, gates, ranking, summary
+from loamsift.session import stash
 from suite import duck, views
 from suite.registry import query
 from suite.views import cte, issues, repo_dim, repos, score_log, tickets
@@ -65,7 +66,7 @@ SELECT t.id, t.repo, r.stars, CAST(r.issues AS BIGINT) AS issues
 FROM tickets t JOIN dim r ON r.full_name = t.repo""")
 def _(spark, d):
     # one row per nation key, but no bound is proven here: Spark picks the join
-    return discovery.of_repos(tickets(spark, d), repo_dim(spark, d), None).select(
+    return discovery.of_repos(tickets(spark, d), repo_dim(spark, d)).select(
         "id", "repo", "stars", "issues")
 
 
@@ -133,11 +134,11 @@ def _(spark, d):
 
 
 @query("J09_results_on_rows", """SELECT vec_id, label, CAST(list_position(e, list_max(e)) - 1 AS INT)
-AS predicted FROM (SELECT vec_id, label, embedding[1:5] AS e FROM embeddings)""")
+AS predicted FROM (SELECT vec_id, label, embedding AS e FROM embeddings)""")
 def _(spark, d):
-    logits = F.slice("embedding", 1, 5)
     return views.table(spark, d, "embeddings").withColumn(
-        "predicted", scores.argmax(logits).cast("int")).select("vec_id", "label", "predicted")
+        "predicted", scores.argmax(F.col("embedding")).cast("int")).select(
+        "vec_id", "label", "predicted")
 
 
 # --- aggregations ----------------------------------------------------------
@@ -224,6 +225,12 @@ def _(spark, d):
                                fixed.TARGET_PER_LABEL)
 
 
+@query("A13_rare_labels_some_above", f"""{_HAVE} SELECT label, have, 200 - have AS needed FROM gap
+WHERE have < 200""")
+def _(spark, d):
+    return summary.rare_labels(_have(spark, d), discovery.label_dim(spark), 200)
+
+
 @query("A14_star_range", f"""{cte(**DISCOVERY, chosen=CHOSEN)}
 SELECT min(stars) AS min_stars, max(stars) AS max_stars FROM chosen""")
 def _(spark, d):
@@ -284,6 +291,7 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY {wc} DESC, row_id) <= {ca
 _cap("W01_cap_v3", fixed.V3_CAP, fixed.LABELS_V3)
 _cap("W01_cap_of_100", 100, fixed.LABELS_V3)
 _cap("W02_cap_final", fixed.FINAL_CAP, fixed.LABELS_FINAL)
+_cap("W02_cap_of_60", 60, fixed.LABELS_FINAL)
 
 _WITH_REPO = """SELECT x.*, r.stars, r.issues FROM x JOIN dim r ON r.full_name = x.repo"""
 _COLLECT_VIEWS = dict(tickets=views.TICKETS, dim=views.REPO_DIM, aliases=ALIAS_DIM, x=EXPLODED,
@@ -295,7 +303,7 @@ _CAPPED = """SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY repo, ca
 
 
 def _unique(spark, d):
-    rows = discovery.of_repos(_exploded(spark, d), repo_dim(spark, d), None)
+    rows = discovery.of_repos(_exploded(spark, d), repo_dim(spark, d))
     return discovery.first_per_id(rows)
 
 
@@ -312,6 +320,14 @@ def _(spark, d):
     return discovery.pages_per_alias(_exploded(spark, d)).select("id", "repo", "alias")
 
 
+@query("W04_pages_of_40", f"""{cte(tickets=views.TICKETS, aliases=ALIAS_DIM, x=EXPLODED)}
+SELECT id, repo, alias FROM x QUALIFY row_number() OVER (
+  PARTITION BY repo, alias ORDER BY updated_at DESC, id) <= 40""")
+def _(spark, d):
+    return discovery.pages_per_alias(_exploded(spark, d).select(
+        "id", "repo", "alias", "updated_at"), 40).select("id", "repo", "alias")
+
+
 @query("W05_pages_per_spec", f"""{cte(repos=views.REPOS, specs=SPEC_DIM, matches=MATCHES, pages=PAGES)}
 SELECT spec_id, full_name, stars FROM pages""")
 def _(spark, d):
@@ -326,7 +342,8 @@ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY stars DESC, re
 SELECT c.id, b.label, b.repo FROM capped c JOIN b ON b.label = c.canonical AND b.repo = c.repo
 WHERE b.before < 200""")
 def _(spark, d):
-    capped = discovery.cap_per_repo_label(_unique(spark, d), 200, 25)
+    capped = stash(discovery.cap_per_repo_label(_unique(spark, d).select(
+        "id", "label", "repo", "alias_rank", "updated_at", "stars", "issues"), 200, 25), "capped")
     counts = capped.groupBy("label", "repo", "stars").agg(F.count("*").alias("n"))
     taken = ranking.within_quota(counts, 200)
     return capped.join(taken, ["label", "repo"], "left_semi").select("id", "label", "repo")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.functions import cleaning, language, scores, text
 from loamsift.operators import gates
+from loamsift.session import stash
 from suite import duck, views
 from suite.registry import query
 from suite.views import cte, issues
@@ -140,10 +141,21 @@ def _(spark, d):
     return gates.valid_upload_rows(up)
 
 
-@query("P18_batch_guard", f"{_I} SELECT count(*) AS n FROM issues")
+@query("P18_batch_guard", f"""{_I} SELECT 'within' AS case, count(*) AS n FROM issues
+WHERE id < 100 UNION ALL SELECT 'above', 0 FROM issues HAVING count(*) > 100
+UNION ALL SELECT 'empty', 0""")
 def _(spark, d):
-    return gates.guard_batch(gates.valid_upload_rows(issues(spark, d))).agg(
-        F.count("*").alias("n"))
+    """A batch within the limit passes whole; one above it and an empty one are refused."""
+    rows = gates.valid_upload_rows(issues(spark, d))
+    out = gates.guard_batch(rows.where("id < 100"), 100).agg(F.count("*").alias("n")).select(
+        F.lit("within").alias("case"), "n")
+    for case, batch in (("above", rows), ("empty", rows.where("id < 0"))):
+        try:
+            gates.guard_batch(batch, 100)
+        except ValueError:
+            out = out.unionByName(spark.range(1).select(
+                F.lit(case).alias("case"), F.lit(0).cast("long").alias("n")))
+    return out
 
 
 @query("P19_emit_record", f"""{_I} SELECT id, repo, {duck.strip('title')} AS title,
@@ -153,9 +165,13 @@ def _(spark, d):
 
 
 # --- generic scalar functions ----------------------------------------------
-@query("F01_nfkc", "SELECT doc_id, text AS nfkc FROM documents")
+@query("F01_nfkc", "SELECT doc_id, text || ' fix 12 ABC' AS nfkc FROM documents")
 def _(spark, d):
-    return views.documents(spark, d).select("doc_id", text.nfkc("text").alias("nfkc"))
+    """Text whose letters a, e and n are full-width and that ends in a ligature."""
+    wide = F.concat(F.translate("text", "aenAEN", "\uff41\uff45\uff4e\uff21\uff25\uff2e"),
+                    F.lit(" \ufb01x \uff11\uff12 \uff21\uff22\uff23"))
+    return views.documents(spark, d).withColumn("wide", wide).select(
+        "doc_id", text.nfkc("wide").alias("nfkc"))
 
 
 @query("F02_strip", f"{_I} SELECT row_id, {duck.strip('label')} AS label, {duck.strip('body')} AS body FROM issues")
@@ -281,12 +297,15 @@ def _(spark, d):
     return views.repos(spark, d).select("p_partkey", parts[0].alias("owner"), parts[1].alias("repo"))
 
 
-@query("F23_batch_id", f"{_I} SELECT count(*) AS n, 1 AS ids, 8 AS width FROM issues")
+@query("F23_batch_id", f"{_I} SELECT repo, count(*) AS n, true AS well_formed, true AS differs FROM issues GROUP BY repo")
 def _(spark, d):
-    bid = spark.range(1).select(scores.batch_id().alias("b")).first()["b"]
-    return issues(spark, d).withColumn("b", F.lit(bid)).agg(
-        F.count("*").alias("n"), F.count_distinct("b").cast("int").alias("ids"),
-        F.max(F.length("b")).alias("width"))
+    """One id per repo's batch: eight hex digits, different from the ids of all other batches."""
+    batches = stash(issues(spark, d).groupBy("repo").agg(F.count("*").alias("n")).withColumn(
+        "b", scores.batch_id()), "batches")
+    shared = batches.groupBy("b").agg(F.count("*").alias("times"))
+    return batches.join(shared, "b").select(
+        "repo", "n", F.col("b").rlike("^[0-9a-f]{8}$").alias("well_formed"),
+        (F.col("times") == 1).alias("differs"))
 
 
 @query("F24_parse_spec", f"""{cte(repos=views.REPOS)} SELECT p_partkey, language, topic1 AS topic,
@@ -327,7 +346,7 @@ _clean("C04", "final", "body", cleaning.BODY_FINAL)
 def _steps(name, cleaner, rules, steps):
     @query(name, f"SELECT page_id, {duck.chain('html', steps)} AS html FROM pages")
     def run(spark, d):
-        pages = views.spread_small_scan(views.table(spark, d, "pages"), "page_id")
+        pages = views.table(spark, d, "pages")
         c = F.col("html")
         for rule in rules:
             c = cleaning.rule_named(cleaner, rule).apply(c)
@@ -345,7 +364,7 @@ _steps("C04_url_steps", cleaning.BODY_FINAL, ("html_comment", "url", "issue_ref"
 @query("C04_clean_pages", f"""WITH base AS ({duck.cleaned('final', "(SELECT page_id, url AS title, html AS body FROM pages)")})
 SELECT page_id, title, body FROM base""")
 def _(spark, d):
-    pages = views.spread_small_scan(views.table(spark, d, "pages"), "page_id")
+    pages = views.table(spark, d, "pages")
     df = pages.select("page_id", F.col("url").alias("title"), F.col("html").alias("body"))
     return cleaning.clean(df, {"title": cleaning.TITLE_FINAL, "body": cleaning.BODY_FINAL})
 

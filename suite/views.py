@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.session import spread_small_scan
-
 _NL = "chr(10)"
 
 ISSUES = f"""
@@ -35,7 +33,7 @@ SELECT doc_id AS id, doc_id AS row_id, source AS repo,
     WHEN 6 THEN '2024-01-02 03:04 INFO start' || {_NL} || text
       || ' [CODE] [URL] [stacktrace] <b>x</b> &nbsp;'
     WHEN 7 THEN '**API Name**: x' || {_NL} || text
-    WHEN 8 THEN 'fails with code ' || CAST(length(text) AS STRING)
+    WHEN 8 THEN 'fails with code ' || CAST(length(text) AS STRING) || {_NL} || text
     ELSE text END AS body,
   CASE WHEN doc_id % 23 = 0 THEN 'dependabot[bot]'
     ELSE 'user' || CAST(doc_id % 97 AS STRING) END AS login,
@@ -119,7 +117,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_quota_overshoots_by_whole_repos(spark):
 def test_dense_index(spark):
     ids = random.Random(3).sample(range(10**15), 997) + [2**62, -5]
     df = spark.createDataFrame([(i,) for i in ids], "row_id long").repartition(7)
-    got = {r["row_id"]: r["index"] for r in ranking.dense_index(df, buckets=16).collect()}
+    got = {r["row_id"]: r["index"] for r in ranking.dense_index(df).collect()}
     assert got == {v: i for i, v in enumerate(sorted(ids))}
 
 

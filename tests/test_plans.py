@@ -95,22 +95,22 @@ def test_cleaning_runs_once_per_scan(spark):
     assert optimized.count("java_method") == 2  # one NFKC for the title, one for the body
 
 
-def test_curation_plan(spark):
-    df = curation.curate(views.issues(spark, SF_DIR), curation.FINAL)
-    plan = plan_text(df)
-    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+def test_curation_ranks_narrow_rows_and_cleans_twice(spark):
+    run = curation.Curation(views.issues(spark, SF_DIR), curation.FINAL)
+    plan = plan_text(curation.balanced(curation.survivors(
+        curation.verdicts(run.raw, run.recipe), run.recipe), run.recipe))
     assert plan.count("WindowGroupLimit") == 8  # two dedups and two ranking levels, map and reduce
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line
-            and "REPARTITION" not in line]
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert wide and all("body#" not in line and "text#" not in line for line in wide)
+    for df in (run.result(), curation.curate(run.raw, curation.V3)):
+        stored = plan_text(df)  # the result is stored before it is ordered
+        assert "java_method" not in stored and stored.count("FileScan") == 1
 
 
-def test_uncapped_result_is_not_broadcast(spark):
-    big = curation.FINAL._replace(cap=2_000_000_000)
-    df = curation.curate(views.issues(spark, SF_DIR), big)
-    logical = df._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in logical.lower()
+def test_uncapped_recipe_keeps_all_unique_rows(spark, raw):
+    everything = curation.FINAL._replace(cap=None)
+    want, _ = brute_curate([r.asDict() for r in raw.collect()], curation.FINAL._replace(cap=10**9))
+    assert {tuple(r) for r in curation.curate(raw, everything).collect()} == want
 
 
 def test_scan_is_pruned_and_filter_pushed(spark):
@@ -147,11 +147,13 @@ def test_collect_resumes_without_repeats(spark):
     first = collecting.collect(df, repos, aliases, none, done, have, n_repos=100, target=3)
     rows = first.rows.collect()
     assert rows and len({r["id"] for r in rows}) == len(rows)
-    seen = first.seen.where("reason IS NULL").count()
-    assert 0 < len(rows) <= seen <= first.seen.count()
+    assert len(rows) == first.seen.where("reason IS NULL").count() <= first.seen.count()
+    # ids that passed but were not taken stay open; finished pairs and emitted ids do not come again
     again = collecting.collect(df, repos, aliases, first.seen, first.done, have, n_repos=100,
-                               target=3)
-    assert again.rows.count() == 0
+                               target=3).rows.collect()
+    assert not {r["id"] for r in again} & {r["id"] for r in rows}
+    pairs = {(r["label"], r["repo"]) for r in first.done.collect()}
+    assert not {(r["label"], r["repo"]) for r in again} & pairs
     assert first.done.count() <= first.seen.count()
     full = labels.select("label", F.when(F.col("label") == "bug", 3).otherwise(0).cast("long")
                          .alias("have"))
@@ -159,3 +161,42 @@ def test_collect_resumes_without_repeats(spark):
     assert rest.rows.where("label = 'bug'").count() == 0 and rest.rows.count() > 0
     gap = {r["label"]: r["needed"] for r in collecting.coverage(first.rows, labels, 3).collect()}
     assert all(v >= 0 for v in gap.values()) and len(gap) == 6
+
+
+def test_collect_loses_nothing_between_runs(spark):
+    """Three repos of forty good issues: a small target first, then a large one, is everything."""
+    from loamsift.operators import discovery
+    rows = [(i, f"r{i % 3}", f"Crash while saving the project {i} again",
+             f"The application stops with an error when saving the project number {i}. " * 8)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, repo string, title string, body string").select(
+        "*", F.lit("closed").alias("state"), F.lit(3).alias("comments"), F.lit("user").alias("login"),
+        F.lit("User").alias("user_type"), F.lit(False).alias("is_pr"),
+        F.array(F.lit("bug"), F.lit("docs")).alias("labels"),
+        F.timestamp_seconds("id").alias("updated_at"))
+    repos = spark.createDataFrame([(f"r{i}", 10 - i, 1000) for i in range(3)],
+                                  "full_name string, stars long, issues long")
+    aliases = discovery.alias_dim(spark).where("label = 'bug'")
+    seen = spark.createDataFrame([], "id long")
+    done = spark.createDataFrame([], "label string, repo string")
+    zero = spark.createDataFrame([("bug", 0)], "label string, have long")
+    first = collecting.collect(df, repos, aliases, seen, done, zero, n_repos=2, target=25)
+    assert first.rows.count() == 40 and first.seen.count() == 40 and first.done.count() == 1
+    have = spark.createDataFrame([("bug", 40)], "label string, have long")
+    second = collecting.collect(df, repos, aliases, first.seen, first.done, have, n_repos=2,
+                                target=1000)
+    ids = {r["id"] for r in first.rows.unionByName(second.rows).collect()}
+    assert len(ids) == 120
+    both = discovery.alias_dim(spark)  # what the first label leaves over goes to the second
+    shared = collecting.collect(df, repos, both, seen, done, zero, n_repos=2, target=25)
+    counts = {r["label"]: r["count"] for r in shared.rows.groupBy("label").count().collect()}
+    assert counts["bug"] == 40 and counts.get("documentation") == 40
+
+
+def test_report_is_not_cut(spark, tmp_path):
+    from loamsift.sources import writers
+    rows = [("3 classes", 1, "a label with a name of more than thirty characters", "1,234,567 (12.3%)")]
+    writers.write_report(spark.createDataFrame(rows, "section string, line int, metric string, value string"),
+                         str(tmp_path / "r"))
+    text = spark.read.text(str(tmp_path / "r")).first()["value"]
+    assert "1,234,567 (12.3%)" in text and rows[0][2] in text

@@ -128,10 +128,3 @@ def test_scratch_is_cleared_by_application(spark, tmp_path, monkeypatch):
     kept = session.stash(spark.range(7), "t")
     assert kept.count() == 7 and len(os.listdir(f"{tmp_path}/loamsift")) == 1
     assert session.clear_scratch(spark) and os.listdir(f"{tmp_path}/loamsift") == []
-
-
-def test_spread_small_scan_leaves_wide_scans_alone(spark):
-    from loamsift.session import spread_small_scan
-    small, wide = spark.range(10).coalesce(1), spark.range(0, 10, 1, 64)
-    assert spread_small_scan(small, "id").rdd.getNumPartitions() == 8
-    assert spread_small_scan(wide, "id") is wide

@@ -38,7 +38,7 @@ from loamsift.session import stash
 
 BINS = 64
 SALT_ROWS = 20_000  # pieces of one length and salt, about
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 _TAIL = b".,;:!?$%&*#|-"
 
 
@@ -67,45 +67,48 @@ class WordTokenizer:
                                                  add_special_tokens=False)
         return [e.ids for e in found]
 
+    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.index)
+        self.index.update(zip(words, range(n, n + len(words))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
     def _learn(self, words: set[bytes]) -> None:
-        """Add words; a plain ASCII word with trailing signs is put together of its two parts."""
-        parts = {}
+        """Add words; letters with trailing signs are put together of their two parts."""
+        whole, joined, bodies, tails = set(), [], [], []
         for w in words:
             body = w.rstrip(_TAIL)
-            parts[w] = (body, w[len(body):]) if (
-                body and len(body) < len(w) and body.isalpha() and body.isascii()) else (w, b"")
-        lower = {p: p.lower() if p.isascii() else p for pair in parts.values() for p in pair if p}
-        new = list(dict.fromkeys(p for p in lower.values() if p not in self.index))
-        ids = dict(zip(new, self._encode(new), strict=True))
-        rows = list(ids.items())
-
-        def known(part: bytes) -> list[int]:
-            part = lower[part]
-            if part in ids:
-                return ids[part]
-            at = self.index[part]
-            return self.ids[self.start[at]:self.start[at] + self.size[at]].tolist()
-        rows += [(w, known(a) + (known(b) if b else [])) for w, (a, b) in parts.items()
-                 if w not in ids]
-        n = len(self.index)
-        self.index.update((w, n + i) for i, (w, _) in enumerate(rows))
-        size = np.fromiter((len(x) for _, x in rows), np.int64, len(rows))
-        base = len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(
-            itertools.chain.from_iterable(x for _, x in rows), np.uint32, int(size.sum()))])
-        self.start = np.concatenate([self.start, base + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+            if len(body) < len(w) and body.decode().lower().isalpha():
+                joined.append(w)
+                bodies.append(body)
+                tails.append(w[len(body):])
+            else:
+                whole.add(w)
+        new = list(whole.union(bodies, tails).difference(self.index))
+        found = self._encode(new)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(new, size, np.fromiter(itertools.chain.from_iterable(found), np.uint32,
+                                         int(size.sum())))
+        if joined:
+            at = np.stack([np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))
+                           for x in (bodies, tails)], axis=1)
+            self._add(joined, self.size[at].sum(axis=1),
+                      self.ids[ranges(self.start[at.ravel()], self.size[at.ravel()])])
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
         if len(self.index) > CACHED_WORDS:
             self._reset()
-        new = {w for words in split for w in words if w not in self.index}
+        # case is ignored, but A-Z may only be lowered early where no combining mark follows it
+        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.index.get, words)) for words in split]
+        new = {w for words, at in zip(split, found, strict=True) if None in at
+               for w, i in zip(words, at, strict=True) if i is None}
         if new:
             self._learn(new)
-        get = self.index.__getitem__
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
+        for words, at in zip(split, found, strict=True):
+            if None in at:
+                at = map(self.index.__getitem__, words)
+            at = np.fromiter(at, np.int64, len(words))
             yield self.ids[ranges(self.start[at], self.size[at])]
 
 

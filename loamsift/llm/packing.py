@@ -216,12 +216,13 @@ class Plan:
 
     def _fit_patterns(self) -> None:
         width = -(-self.max_len // BINS)
+        bins = -(-self.max_len // width)
         bin_of = lambda length: -(-length // width)
-        have = np.zeros(BINS)
+        have = np.zeros(bins)
         for length, n in self.left.items():
             have[bin_of(length) - 1] += n
-        forms = patterns(BINS)
-        a = np.zeros((BINS, len(forms)))
+        forms = patterns(bins)
+        a = np.zeros((bins, len(forms)))
         for j, form in enumerate(forms):
             for b in form:
                 a[b - 1, j] += 1
@@ -245,6 +246,8 @@ class Plan:
                 x = next(x for x in order if self.left[x] > taken.get(x, 0))
                 chosen.append(x)
                 taken[x] += 1
+            if sum(chosen) > self.max_len:  # the last bin may reach past the end
+                return
             n = min(repeats, *(self.left[x] // k for x, k in taken.items()))
             offset = 0
             for x in chosen:

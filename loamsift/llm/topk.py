@@ -71,8 +71,8 @@ def search_blocks(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """
     q = queries.astype(np.float64)
     # whole numbers in floating point: sums below 2^53 are exact, larger ones take integers
-    exact = all(np.abs(b[1]).max() * np.abs(queries).max(initial=0) * queries.shape[1] < 2 ** 53
-                for b in blocks)
+    largest = int(np.abs(queries).max(initial=0)) * queries.shape[1]
+    exact = all(int(np.abs(b[1]).max()) * largest < 2 ** 53 for b in blocks)
     kind, none = (np.float64, -np.inf) if exact else (object, -(1 << 200))
     nobody = np.iinfo(np.int64).max
     plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)

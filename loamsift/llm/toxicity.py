@@ -28,6 +28,7 @@ DIM = 8
 GRAMS = (3, 4, 5)
 PER_CLASS = 2_500  # labelled documents of each class at most
 EPOCHS = 12
+STEPS = 160  # a small sample is passed more often, so that training takes so many steps
 SCALE = 100.0  # keeps vectors small beside the mean of hundreds of words
 BATCH = 250
 RATE = 0.1
@@ -122,6 +123,7 @@ def train(bags: list, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -
     weight = weight / weight.mean()
     batches = [Batch([bags[i] for i in part], y[part], weight[part])
                for part in np.array_split(order, max(1, -(-len(y) // BATCH)))]
+    epochs = max(epochs, -(-STEPS // len(batches)))
     step = Adam(RATE)
     for epoch in range(epochs):
         step.rate = RATE * (1 - epoch / epochs)

@@ -46,6 +46,7 @@ def is_english(title: Column | str, body: Column | str, test: EnglishTest) -> Co
     """Boolean column; the branches run in order and stop at the first verdict."""
     title = F.col(title) if isinstance(title, str) else title
     body = F.col(body) if isinstance(body, str) else body
+    title, body = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))  # null is empty
     return let(judged_text(title, body, test), lambda text: _verdict(text, test))
 
 

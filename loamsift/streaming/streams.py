@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loamsift.functions.scores import mean1
 from loamsift.operators.ranking import first_per_key
-from loamsift.sources.writers import append_log
 
 
 def file_stream(spark: SparkSession, folder: str, schema, names: str | None = None,
@@ -36,19 +35,22 @@ def bounded_dedup(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> Da
 
 
 def exact_intake(stream: DataFrame, out: str, checkpoint: str, id_col: str,
-                 order: Sequence[str]) -> StreamingQuery:
+                 order: Sequence[str], buckets: int = 256) -> StreamingQuery:
     """First row per id over the whole history.
 
-    Every micro-batch owns a folder, so a replayed batch replaces its own output; it
-    is compared with the ids of earlier batches only.
+    Every micro-batch owns a folder, so a replayed batch replaces its own output. Rows lie
+    in ``buckets`` folders by a hash of the id; a batch is compared with the ids of earlier
+    batches in the buckets it touches, other folders are not read.
     """
     def each(df: DataFrame, batch: int) -> None:
-        fresh = first_per_key(df, [id_col], order)
+        fresh = first_per_key(df, [id_col], order).withColumn(
+            "bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
         if batch > 0:
-            earlier = (df.sparkSession.read.parquet(out).where(F.col("batch") < batch)
-                       .select(id_col))
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            earlier = df.sparkSession.read.parquet(out).where(
+                (F.col("batch") < batch) & F.col("bucket").isin(touched)).select(id_col)
             fresh = fresh.join(earlier, id_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch}")
     return _run(stream, checkpoint, each)
 
 
@@ -62,8 +64,12 @@ def score_stream(stream: DataFrame, out: str, checkpoint: str,
 
 def score_and_append(stream: DataFrame, log: str, checkpoint: str,
                      to_log: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """As ``score_stream``, into the day-partitioned log (at least once per row)."""
-    return _run(stream, checkpoint, lambda df, _: append_log(to_log(df), log))
+    """As ``score_stream``, into a log by day and batch; a replayed batch replaces its rows."""
+    def each(df: DataFrame, batch: int) -> None:
+        (to_log(df).withColumns({"day": F.to_date("ts"), "batch": F.lit(batch)})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch").parquet(log))
+    return _run(stream, checkpoint, each)
 
 
 def label_means(log: DataFrame) -> DataFrame:
@@ -84,3 +90,17 @@ def replace_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """Keep ``out`` equal to the current result of an aggregation (complete mode)."""
     return _run(stream, checkpoint, lambda df, _: df.write.mode("overwrite").parquet(out),
                 mode="complete")
+
+
+def upsert_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Store the changed rows of an aggregation, one folder per batch (update mode).
+
+    State older than the watermark is freed; ``latest`` reads the current table.
+    """
+    return _run(stream, checkpoint, lambda df, batch: df.write.mode("overwrite").parquet(
+        f"{out}/batch={batch}"), mode="update")
+
+
+def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key of an upserted table."""
+    return first_per_key(spark.read.parquet(out), keys, [F.desc("batch")]).drop("batch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamsift import fixed
@@ -11,7 +12,7 @@ from loamsift.operators.ranking import first_per_key
 from loamsift.plans import collect as collecting
 from loamsift.plans import curate as curation
 from loamsift.plans import score as scoreplan
-from loamsift.session import scratch_path
+from loamsift.session import scratch_path, stash
 from loamsift.sources import readers, writers
 from loamsift.streaming import streams
 from suite import duck, views
@@ -463,21 +464,46 @@ def _training_rows(spark, d):
     return df.select("row_id", "title", "body", "label", scoring.pair_text().alias("text"))
 
 
-@query("M03_single_record")
+def _sound(*keep):
+    """Given columns; the label is one of the model's, and the best of five has 20 % at least."""
+    return [*keep, F.col("predicted_label").isin(*LABELS).alias("known"),
+            F.col("confidence").between(20, 100).alias("sound")]
+
+
+@query("M03_single_record", f"{_I} SELECT title, true AS known, true AS sound FROM issues WHERE row_id = 0")
 def _(spark, d):
     model = scoring.train_classifier(_training_rows(spark, d).select("text", "label"))
-    row = issues(spark, d).orderBy("row_id").first()
+    row = issues(spark, d).where("row_id = 0").first()
     return scoring.score_record(
         spark, row["title"], row["body"], lambda df: scoring.score_with_model(df, model)
-    ).select("title", "predicted_label", "confidence", "color")
+    ).select(*_sound("title"))
+
+
+_TRAIN = f"""{_I}, tr AS (SELECT row_id, lower({duck.strip('label')}) AS label FROM issues
+WHERE lower({duck.strip('label')}) IN {duck.names(fixed.LABELS_FINAL)})"""
 
 
-@query("M07_train_and_score")
+@query("M07_train_and_score", f"{_TRAIN} SELECT row_id, label, true AS known, true AS sound FROM tr")
 def _(spark, d):
     rows = _training_rows(spark, d)
     model = scoring.train_classifier(rows.select("text", "label"))
-    return scoring.score_with_model(rows, model).select(
-        "row_id", "label", "predicted_label", "confidence")
+    return scoring.score_with_model(rows, model).select(*_sound("row_id", "label"))
+
+
+@query("M08_held_out", f"""{_TRAIN} SELECT label, count(*) AS support,
+CAST(sum(count(*)) OVER () AS BIGINT) AS predicted, true AS sound FROM tr WHERE row_id % 5 = 0 GROUP BY label""")
+def _(spark, d):
+    """The report on rows that the model has not seen; each has one prediction."""
+    rows = _training_rows(spark, d)
+    model = scoring.train_classifier(rows.where("row_id % 5 <> 0").select("text", "label"))
+    scored = stash(scoring.score_with_model(rows.where("row_id % 5 = 0"), model).select(
+        "label", "predicted_label"), "held-out")
+    report = summary.class_report(summary.confusion(
+        scored.where(F.col("predicted_label").isin(*LABELS)), "label", "predicted_label"))
+    return report.where("support > 0").select(
+        "label", F.col("support").cast("long").alias("support"),
+        F.sum("support").over(Window.partitionBy(F.lit(1))).cast("long").alias("predicted"),
+        ((F.col("hits") <= F.col("support")) & F.col("f1").between(0, 1)).alias("sound"))
 
 
 _CELLS = """WITH r AS (SELECT l.quality AS truth, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END AS pred
@@ -539,14 +565,16 @@ def _(spark, d):
         "vec_id", "predicted_label", F.length(F.col("batch_id").cast("string")).alias("id_length"))
 
 
-@query("score_upload", f"""{_I} SELECT row_id, {duck.strip('title')} AS title FROM issues
+@query("score_upload", f"""{_I} SELECT row_id, {duck.strip('title')} AS title, true AS best FROM issues
 WHERE {duck.strip('title')} <> ''""")
 def _(spark, d):
     df = issues(spark, d)
     model = scoring.train_classifier(_training_rows(spark, d).select("text", "label"))
     out = scoreplan.score_upload(df.select("row_id", "title", "body"),
                                  lambda x: scoring.score_with_model(x, model))
-    return out.where(F.col("predicted_label").isin(*LABELS)).select("row_id", "title")
+    shown = F.greatest(*[F.col(f"score_{x}") for x in LABELS])
+    named = F.coalesce(*[F.when(F.col("predicted_label") == x, F.col(f"score_{x}")) for x in LABELS])
+    return out.select("row_id", "title", ((named == shown) & (F.col("confidence_%") == shown)).alias("best"))
 
 
 # --- streams: real runs over the landed tables -----------------------------
@@ -563,8 +591,15 @@ def _log_stream(spark, d):
 @query("T01_first_wins_intake", """SELECT user_id, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
 def _(spark, d):
-    out = scratch_path(spark, "intake")
-    streams.exact_intake(_stream(spark, d, "events"), out, scratch_path(spark, "ckpt"), "user_id",
+    """Three files land one after the other, each a batch of its own."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "intake")
+    events = views.table(spark, d, "events")
+    cuts = events.agg(*[F.percentile_approx("event_id", p).alias(str(p)) for p in (0.3, 0.6)]).first()
+    third = F.when(F.col("event_id") <= cuts[0], 0).when(F.col("event_id") <= cuts[1], 1).otherwise(2)
+    for i in range(3):
+        events.where(third == i).coalesce(1).write.mode("append").parquet(landing)
+    stream = streams.file_stream(spark, landing, events.schema, "*.parquet", max_files=1)
+    streams.exact_intake(stream, out, scratch_path(spark, "ckpt"), "user_id",
                          ["event_id"]).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id")
 
@@ -599,10 +634,9 @@ count(*) AS n, {duck.mean1('value')} AS avg_confidence FROM events GROUP BY ALL"
 @query("T04_confidence_trend", _TREND)
 def _(spark, d):
     out = scratch_path(spark, "trend")
-    streams.replace_table(
-        streams.confidence_trend(_log_stream(spark, d), delay="1 hour"), out,
-        scratch_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(out).select(
+    streams.upsert_table(streams.confidence_trend(_log_stream(spark, d), delay="1 hour"), out,
+                         scratch_path(spark, "ckpt")).awaitTermination()
+    return streams.latest(spark, out, ["window_start", "label"]).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "label", "n",
         "avg_confidence")
 

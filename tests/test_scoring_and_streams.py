@@ -129,3 +129,34 @@ def test_score_stream_appends_to_the_log(spark, tmp_path):
     s = streams.file_stream(spark, f"{tmp_path}/in", vectors.schema, max_files=1)
     streams.score_and_append(s, f"{tmp_path}/log", f"{tmp_path}/ck", to_log).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == vectors.count()
+
+
+def test_replayed_batches_replace_their_rows(spark, tmp_path):
+    """A stream that starts again without its checkpoint gives batch 0, 1, ... once more."""
+    vectors = views.table(spark, SF_DIR, "embeddings")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def to_log(df):
+        rows = df.select("vec_id", F.slice("embedding", 1, 5).alias("e"))
+        ts = F.timestamp_seconds(F.col("vec_id") * 86_400)
+        return scoring.log_entries(scoring.decode_logits(rows, "e", LABELS), "batch", F.lit("u"), ts)
+    for run in range(2):
+        s = streams.file_stream(spark, f"{tmp_path}/in", vectors.schema)
+        streams.score_and_append(s, f"{tmp_path}/log", f"{tmp_path}/ck{run}", to_log).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/log").count() == vectors.count()
+
+
+def test_upserted_trend_keeps_the_newest_row(spark, tmp_path):
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "ts timestamp, label string, confidence double"
+    for hours in ((0, 0, 1), (1, 2), (2, 3)):
+        rows = [(h, "bug", 50.0 + h) for h in hours]
+        spark.createDataFrame(rows, "h int, label string, confidence double").select(
+            F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "label", "confidence").coalesce(
+            1).write.mode("append").parquet(folder)
+    s = streams.file_stream(spark, folder, schema, "*.parquet", max_files=1)
+    streams.upsert_table(streams.confidence_trend(s, delay="1 hour"), out, f"{tmp_path}/ck").awaitTermination()
+    got = {r["window_start"].hour: r["n"] for r in streams.latest(spark, out, ["window_start", "label"]).collect()}
+    assert list(got.values()) == [got[h] for h in got] and sorted(got.values()) == [1, 2, 2, 2]
+    state = spark.read.parquet(out)
+    assert state.count() < 4 * state.select("batch").distinct().count()  # only changed hours are stored

@@ -39,9 +39,9 @@ from loamsift.llm.common import NOT_SPACE, WordHasher, arrow_map, chunks, mix, t
 from loamsift.session import stash
 
 MU = 100.0
-BATCH_BYTES = 32 << 20
-SHARD_WORDS = 1_500_000  # distinct words of batches in a shard, about
-SHARD_TOKENS = 6_000_000  # tokens whose pairs are in a shard, about
+BATCH_BYTES = 12 << 20
+SHARD_WORDS = 1_000_000  # distinct words of batches in a shard, about
+SHARD_TOKENS = 2_500_000  # tokens whose pairs are in a shard, about
 STEPS = 4000  # codes of a probability for each power of ten
 END = np.uint64(0x5BD1E995C0FFEE11)  # hash of the end
 
@@ -160,7 +160,11 @@ def coded_batches(docs: DataFrame, training: Column) -> DataFrame:
             words.append(ends)
             sizes.append(np.diff(at) + 1)
         tokens, sizes = np.concatenate(words), np.concatenate(sizes)
-        keys, places = np.unique(tokens, return_inverse=True)
+        keys, places, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # small numbers for frequent words
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keys, places = keys[order], rank[places]
         return {"batch": [number], "n_keys": [len(keys)], "n_tokens": [len(tokens)],
                 "doc_id": pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(ids)),
                 "size": pa.array([sizes.tolist()]), "train": pa.array([train]),
@@ -269,10 +273,12 @@ class BatchPairs:
         self.ids, self.counts = ids[order], counts[order]
         self.tokens = rank[unpack(row["tokens"], "<u4")]
         before = np.empty_like(self.tokens)
-        before[0] = rank[np.searchsorted(keys, END)]
+        before[0] = rank[np.flatnonzero(keys == END)[0]]
         before[1:] = self.tokens[:-1]
         n = len(keys)
-        code, self.place = np.unique(before * n + self.tokens, return_inverse=True)
+        before *= n
+        before += self.tokens
+        code, self.place = np.unique(before, return_inverse=True)
         self.v, self.w = code // n, code % n
         self.trained = _trained(row)
         self.shard = (mix(mix(self.ids[self.v].astype(np.uint64)) + self.ids[self.w].astype(

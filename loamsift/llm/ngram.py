@@ -167,7 +167,7 @@ def coded_batches(docs: DataFrame, training: Column) -> DataFrame:
         keys, places = keys[order], rank[places]
         return {"batch": [number], "n_keys": [len(keys)], "n_tokens": [len(tokens)],
                 "doc_id": pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(ids)),
-                "size": pa.array([sizes.tolist()]), "train": pa.array([train]),
+                "size": pa.array([sizes.tolist()]), "train": pa.array([train]), "end": [int(np.flatnonzero(keys == END)[0])],
                 "keys": [keys.tobytes()], "tokens": [pack(places, "<u4")]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -188,10 +188,10 @@ def coded_batches(docs: DataFrame, training: Column) -> DataFrame:
             yield encode(ids, train, texts, number)
     return arrow_map(docs.select("doc_id", "text", training.alias("train")), run,
                      f"batch long, n_keys long, n_tokens long, doc_id array<{kind}>, "
-                     "size array<int>, train array<boolean>, keys binary, tokens binary")
+                     "size array<int>, train array<boolean>, end int, keys binary, tokens binary")
 
 
-_ANSWER = "batch long, shard int, a binary, b binary, tokens long, types long"
+_ANSWER = "batch long, shard int, at binary, a binary, b binary, tokens long, types long"
 
 
 def _parts(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -209,7 +209,7 @@ def _trained(row: dict) -> np.ndarray:
 
 
 def word_questions(coded: DataFrame, shards: int) -> DataFrame:
-    """(shard, batch, keys, counts): a batch's distinct words and their training counts."""
+    """(shard, batch, at, keys, counts): a batch's distinct words, their places and training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for row in b.to_pylist():
@@ -218,10 +218,11 @@ def word_questions(coded: DataFrame, shards: int) -> DataFrame:
                 counts = np.bincount(tokens[_trained(row)], minlength=len(keys))
                 shard = (mix(keys) % np.uint64(shards)).astype(int)
                 for s, at in _parts(shard, shards):
-                    yield {"shard": [s], "batch": [row["batch"]], "keys": [keys[at].tobytes()],
+                    yield {"shard": [s], "batch": [row["batch"]],
+                           "at": [pack(np.diff(at, prepend=0), "<u4")], "keys": [keys[at].tobytes()],
                            "counts": [pack(counts[at], "<u4")]}
     return arrow_map(coded.select("batch", "size", "train", "keys", "tokens"), run,
-                     "shard int, batch long, keys binary, counts binary")
+                     "shard int, batch long, at binary, keys binary, counts binary")
 
 
 def word_answers(questions: DataFrame, shards: int) -> DataFrame:
@@ -234,13 +235,16 @@ def word_answers(questions: DataFrame, shards: int) -> DataFrame:
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(place, np.concatenate([unpack(r["counts"], "<u4") for r in rows])
                             ).astype(np.int64)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(count))  # frequent words: small ids
         s = rows[0]["shard"]
-        out, at = [{"batch": -1, "shard": s, "a": b"", "b": b"", "tokens": int(count.sum()),
+        out, at = [{"batch": -1, "shard": s, "at": b"", "a": b"", "b": b"", "tokens": int(count.sum()),
                     "types": int((count > 0).sum())}], 0
         for r, k in zip(rows, keys, strict=True):
             p = place[at:at + len(k)]
             at += len(k)
-            out.append({"batch": r["batch"], "shard": s, "a": pack(p * shards + s, "<u8"),
+            out.append({"batch": r["batch"], "shard": s, "at": r["at"],
+                        "a": pack(rank[p] * shards + s, "<u8"),
                         "b": pack(count[p], "<u8"), "tokens": 0, "types": 0})
         return pa.Table.from_pylist(out, schema=schema)
     return questions.groupBy("shard").applyInArrow(answer, _ANSWER)
@@ -252,30 +256,29 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def _learned(keys: np.ndarray, answers: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and corpus counts of a batch's words."""
-    ids, counts = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-    by = {r["shard"]: r for r in answers}
-    for s, at in _parts((mix(keys) % np.uint64(shards)).astype(int), shards):
-        ids[at], counts[at] = unpack(by[s]["a"], "<u8"), unpack(by[s]["b"], "<u8")
-    return ids, counts
+def _learned(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and corpus counts of a batch's words; answers come with the places they are for."""
+    at, ids, counts = (np.concatenate(x) for x in zip(*[
+        (np.cumsum(unpack(r["at"], "<u4").astype(np.int64)), unpack(r["a"], "<u8").astype(np.int64),
+         unpack(r["b"], "<u8").astype(np.int64)) for r in answers]))
+    order = np.argsort(at)
+    return ids[order], counts[order]
 
 
 class BatchPairs:
     """Distinct word pairs of a batch, by id of the first and then of the second word."""
 
-    def __init__(self, row: dict, answers: list[dict], word_shards: int, pair_shards: int):
-        keys = np.frombuffer(row["keys"], np.uint64)
-        ids, counts = _learned(keys, answers, word_shards)
+    def __init__(self, row: dict, answers: list[dict], pair_shards: int):
+        ids, counts = _learned(answers)
         order = np.argsort(ids)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.ids, self.counts = ids[order], counts[order]
         self.tokens = rank[unpack(row["tokens"], "<u4")]
         before = np.empty_like(self.tokens)
-        before[0] = rank[np.flatnonzero(keys == END)[0]]
+        before[0] = rank[row["end"]]
         before[1:] = self.tokens[:-1]
-        n = len(keys)
+        n = len(ids)
         before *= n
         before += self.tokens
         code, self.place = np.unique(before, return_inverse=True)
@@ -290,9 +293,9 @@ def _log_p1(counts: np.ndarray, n: int, v: int) -> np.ndarray:
 
 
 def _by_batch(coded: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Coded batches and answers, one group a batch."""
-    frames = [coded.withColumn("level", F.lit(0))] + [
-        a.select("batch", "shard", "a", "b").withColumn("level", F.lit(i + 1))
+    """Coded batches, without their words, and answers, one group a batch."""
+    frames = [coded.drop("keys").withColumn("level", F.lit(0))] + [
+        a.select("batch", "shard", "at", "a", "b").withColumn("level", F.lit(i + 1))
         for i, a in enumerate(answers)]
     joined = frames[0]
     for f in frames[1:]:
@@ -306,29 +309,27 @@ def _split(t: pa.Table) -> tuple[dict, list[list[dict]]]:
     return own, [[r for r in rows if r["level"] == i] for i in (1, 2)]
 
 
-def pair_questions(coded: DataFrame, words: DataFrame, word_shards: int, pair_shards: int,
-                   n: int, v: int) -> DataFrame:
-    """(shard, batch, v, w, counts, cv, p1): a batch's distinct pairs for each shard."""
-    ddl = "shard int, batch long, v binary, w binary, counts binary, cv binary, p1 binary"
+def pair_questions(coded: DataFrame, words: DataFrame, pair_shards: int) -> DataFrame:
+    """(shard, batch, v, w, counts, cv, cw): a batch's distinct pairs for each shard."""
+    ddl = "shard int, batch long, v binary, w binary, counts binary, cv binary, cw binary"
     schema = _schema(ddl)
 
     def ask(t: pa.Table) -> pa.Table:
         row, (answers, _) = _split(t)
-        p = BatchPairs(row, answers, word_shards, pair_shards)
+        p = BatchPairs(row, answers, pair_shards)
         counts = np.bincount(p.place[p.trained], minlength=len(p.v))
-        code = np.rint(-_log_p1(p.counts, n, v) * STEPS).astype(np.int64)
         out = []
         for s, at in _parts(p.shard, pair_shards):
             first = p.ids[p.v[at]]
             out.append({"shard": s, "batch": row["batch"],
                         "v": pack(np.diff(first, prepend=0), "<u8"), "w": pack(p.ids[p.w[at]], "<u8"),
                         "counts": pack(counts[at], "<u4"), "cv": pack(p.counts[p.v[at]], "<u8"),
-                        "p1": pack(code[p.w[at]], "<u4")})
+                        "cw": pack(p.counts[p.w[at]], "<u8")})
         return pa.Table.from_pylist(out, schema=schema)
     return _by_batch(coded, words).applyInArrow(ask, ddl)
 
 
-def pair_answers(questions: DataFrame) -> DataFrame:
+def pair_answers(questions: DataFrame, n: int, types: int) -> DataFrame:
     """For each question the codes of its pairs, from the shard's part of the trie."""
     schema = _schema(_ANSWER)
 
@@ -337,8 +338,8 @@ def pair_answers(questions: DataFrame) -> DataFrame:
         asked = [(np.cumsum(unpack(r["v"], "<u8").astype(np.int64)), unpack(r["w"], "<u8").astype(np.int64))
                  for r in rows]
         v, w = (np.concatenate([x[i] for x in asked]) for i in (0, 1))
-        counts, cv, p1 = (np.concatenate([unpack(r[c], k) for r in rows])
-                          for c, k in (("counts", "<u4"), ("cv", "<u8"), ("p1", "<u4")))
+        counts, cv, cw = (np.concatenate([unpack(r[c], k) for r in rows])
+                          for c, k in (("counts", "<u4"), ("cv", "<u8"), ("cw", "<u8")))
         order = np.lexsort((w, v))
         new = np.ones(len(order), bool)
         new[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -346,11 +347,11 @@ def pair_answers(questions: DataFrame) -> DataFrame:
         total = np.add.reduceat(counts[order].astype(np.int64), first)
         kept = order[first][total > 0]
         total = total[total > 0]
-        p = (total + MU * 10.0 ** (-p1[kept].astype(float) / STEPS)) / (cv[kept] + MU)
+        p = (total + MU * 10.0 ** _log_p1(cw[kept], n, types)) / (cv[kept] + MU)
         codes = np.clip(np.rint(-np.log10(p) * STEPS), 0, 65_534).astype(np.int64) + 1
         with tempfile.TemporaryDirectory() as folder:
             trie = Trie(folder, v[kept], w[kept], codes)
-            out = [{"batch": r["batch"], "shard": r["shard"],
+            out = [{"batch": r["batch"], "shard": r["shard"], "at": b"",
                     "a": pack(trie.lookup(*own), "<u2"), "b": b"", "tokens": 0, "types": 0}
                    for r, own in zip(rows, asked, strict=True)]
             del trie
@@ -369,14 +370,14 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     sums = words.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n, types = sums["n"] or 0, sums["v"] or 0
     words = words.where("batch >= 0")
-    pairs = pair_answers(pair_questions(coded, words, word_shards, pair_shards, n, types))
+    pairs = pair_answers(pair_questions(coded, words, pair_shards), n, types)
     ddl = (f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
     schema = _schema(ddl)
 
     def finish(t: pa.Table) -> pa.Table:
         row, (answers, coded_pairs) = _split(t)
-        p = BatchPairs(row, answers, word_shards, pair_shards)
+        p = BatchPairs(row, answers, pair_shards)
         by = {r["shard"]: r for r in coded_pairs}
         code = np.zeros(len(p.v), np.int64)
         for s, at in _parts(p.shard, pair_shards):

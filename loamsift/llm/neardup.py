@@ -9,9 +9,9 @@ a chance of at most ``MISS``.
 Documents with equal shingle sets are one class, found by a 128-bit set hash and its size, so
 exact copies never meet each other. In each table bucket every class is compared with the
 smallest one (a star, not all pairs); candidates are verified on full shingle sets. Buckets
-whose classes then still belong to several components are compared further: small buckets by
-all pairs between components, larger ones with other centres, round after round, until a round
-links nothing new. Components are found by alternating large and small stars.
+whose classes then still belong to several components are compared further: one member of
+each component with one of the largest, then all pairs between components in small buckets and
+other members in large ones, round after round, until a round links nothing new. Components are found by alternating large and small stars.
 
 Hot groups: minima and counts are combined before the shuffle, joins are ordinary shuffle
 joins that Spark may split, and the members of one centre are dealt into salts of about
@@ -41,7 +41,6 @@ ROWS = 3  # MinHash values in a half key
 MISS = 4e-4
 MEMBERS = 512  # members compared with one copy of a centre's set
 SMALL = 64  # classes in a bucket that may be compared pairwise
-ROUNDS = 8
 
 
 def half_keys(threshold: float) -> int:
@@ -175,18 +174,23 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("key", "n"), "key")
 
 
-def _further_pairs(rows: DataFrame, tested: DataFrame, round_no: int) -> DataFrame:
-    """Untested pairs between components: all of small buckets, other centres in larger ones."""
+def _star_pairs(rows: DataFrame, round_no: int) -> DataFrame:
+    """In each open bucket one member of every component against one of the largest component."""
+    reps = rows.groupBy("key", "root").agg(
+        F.count("*").alias("size"),
+        F.min(F.struct(F.xxhash64("rep", "key", F.lit(round_no)), F.col("rep"))).alias("m")
+    ).select("key", "root", "size", F.col("m.rep").alias("rep"))
+    centres = reps.groupBy("key").agg(F.max(F.struct("size", "root", "rep")).alias("c"))
+    return reps.join(centres, "key").where(F.col("root") != F.col("c.root")).select(
+        F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of classes of different components in open buckets of at most SMALL classes."""
     few = rows.where(F.col("n") <= SMALL).select("key", "rep", "root")
     other = few.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, "key").where((F.col("rep") < F.col("b")) & (
+    return few.join(other, "key").where((F.col("rep") < F.col("b")) & (
         F.col("root") != F.col("root_b"))).select(F.col("rep").alias("a"), "b")
-    many = rows.where(F.col("n") > SMALL)
-    centres = many.groupBy("key").agg(F.min(F.struct(
-        F.xxhash64("rep", "key", F.lit(round_no)), F.col("rep"), F.col("root"))).alias("c"))
-    stars = many.join(centres, "key").where(F.col("root") != F.col("c.root")).select(
-        F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-    return pairs.unionByName(stars).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,15 +214,24 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
     edges = stash(verified(tested, sets, percent), "edges")
     roots = components(edges)
-    for round_no in range(ROUNDS):
-        pairs = stash(_further_pairs(_open_buckets(members, roots), tested, round_no), "further")
-        if pairs.isEmpty():
+    round_no = 0
+    while True:
+        rows = _open_buckets(members, roots)
+        large = rows if round_no == 0 else rows.where(F.col("n") > SMALL)
+        pairs = _star_pairs(large, round_no)
+        if round_no:
+            pairs = pairs.unionByName(_all_pairs(rows))
+        pairs = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "further")
+        if round_no and pairs.isEmpty():
             break
         new = stash(verified(pairs, sets, percent), "edges")
-        if new.isEmpty():
-            break
         tested, edges = tested.unionByName(pairs), edges.unionByName(new)
-        roots = components(edges)
+        found = not new.isEmpty()
+        if found:
+            roots = components(edges)
+        elif round_no:
+            break
+        round_no += 1
     ids = classes.select("n_shingles", "s1", "s2", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "s1", "s2", F.col("rep").alias("class_id"),

@@ -10,8 +10,11 @@ Documents with equal shingle sets are one class, found by a 128-bit set hash and
 exact copies never meet each other. In each table bucket every class is compared with the
 smallest one (a star, not all pairs); candidates are verified on full shingle sets. Buckets
 whose classes then still belong to several components are compared further: one member of
-each component with one of the largest, then all pairs between components in small buckets and
-other members in large ones, round after round, until a round links nothing new. Components are found by alternating large and small stars.
+each component with one of the largest, then every pair of classes of different components. In
+small buckets these are rows of pairs; the classes of larger ones are dealt into blocks, and two
+blocks are compared inside a task, so no row is made for a pair. Every two classes that share a
+bucket are thus compared or already in one component. Components are found by alternating
+large and small stars.
 
 Hot groups: minima and counts are combined before the shuffle, joins are ordinary shuffle
 joins that Spark may split, and the members of one centre are dealt into salts of about
@@ -40,7 +43,10 @@ from loamsift.session import stash
 ROWS = 3  # MinHash values in a half key
 MISS = 4e-4
 MEMBERS = 512  # members compared with one copy of a centre's set
-SMALL = 64  # classes in a bucket that may be compared pairwise
+SMALL = 64  # classes in a bucket whose pairs are rows; those of larger ones are met in blocks
+BLOCK = 512  # classes in a block
+BLOCK_SHINGLES = 1 << 19  # shingles in a block, on average, unless one set is larger
+COLUMNS = 4096  # shingles counted at a time when two blocks are compared
 
 
 def half_keys(threshold: float) -> int:
@@ -166,19 +172,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, rep, root, n) of buckets whose classes belong to several components."""
+    """(key, rep, root, centre, n) of buckets whose classes belong to several components."""
     labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root"))
+        "key", "rep", F.coalesce("root", "rep").alias("root"), "centre")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                         F.count("*").alias("n")).where("lo <> hi")
     return labelled.join(mixed.select("key", "n"), "key")
 
 
-def _star_pairs(rows: DataFrame, round_no: int) -> DataFrame:
+def _star_pairs(rows: DataFrame) -> DataFrame:
     """In each open bucket one member of every component against one of the largest component."""
     reps = rows.groupBy("key", "root").agg(
         F.count("*").alias("size"),
-        F.min(F.struct(F.xxhash64("rep", "key", F.lit(round_no)), F.col("rep"))).alias("m")
+        F.min(F.struct(F.xxhash64("rep", "key"), F.col("rep"))).alias("m")
     ).select("key", "root", "size", F.col("m.rep").alias("rep"))
     centres = reps.groupBy("key").agg(F.max(F.struct("size", "root", "rep")).alias("c"))
     return reps.join(centres, "key").where(F.col("root") != F.col("c.root")).select(
@@ -193,6 +199,111 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
         F.col("root") != F.col("root_b"))).select(F.col("rep").alias("a"), "b")
 
 
+def _blocks(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(rep, root, crowd, band, block) of the classes of ``rows``.
+
+    A crowd holds the classes of buckets that are connected by common classes, a band those whose
+    sizes differ by less than the threshold allows: links lie inside a band or between two
+    neighbours. Components of half a block or more have blocks of their own.
+    """
+    crowds = components(rows.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    step = math.log(100 / percent) + 1e-3
+    own = stash(rows.select("rep", "root").distinct().join(sizes, "rep").join(
+        crowds.select(F.col("node").alias("rep"), F.col("root").alias("crowd")), "rep").withColumn(
+        "band", F.floor(F.log("n_shingles") / step)), "crowds")
+    big = own.groupBy("crowd", "band", "root").count().where(F.col("count") >= BLOCK // 2)
+    parted = own.join(big, ["crowd", "band", "root"], "left").withColumn(
+        "part", F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.xxhash64("root")))
+    deals = parted.groupBy("crowd", "band", "part").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("salts"))
+    return parted.join(deals, ["crowd", "band", "part"]).select(
+        "rep", "root", "crowd", "band", F.struct(
+            "crowd", "band", "part", F.pmod(F.xxhash64("rep"), "salts").alias("salt")).alias("block"))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of ``left`` shares with each of ``right``."""
+    sides = [np.concatenate(x) for x in (left, right)]
+    both = np.intersect1d(*sides)
+    at = []
+    for sets, flat in zip((left, right), sides):
+        owner, place = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(both, flat)
+        shared = np.flatnonzero(both[np.minimum(place, len(both) - 1)] == flat) if len(both) else place[:0]
+        shared = shared[np.argsort(place[shared], kind="stable")]
+        at.append((owner[shared], place[shared]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, len(both), COLUMNS):
+        has = []
+        for sets, (owner, place) in zip((left, right), at):
+            x, y = np.searchsorted(place, (lo, lo + COLUMNS))
+            has.append(np.zeros((len(sets), COLUMNS), np.float32))
+            has[-1][owner[x:y], place[x:y] - lo] = 1
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of all classes within reach of each other's block.
+
+    Of the links between two blocks only those are given that join something new there.
+    """
+    kind = dealt.schema["rep"].dataType.simpleString()
+    blocks = dealt.groupBy("block", "crowd", "band").agg(F.min("root").alias("lo"),
+                                                         F.max("root").alias("hi"))
+    other = blocks.select("crowd", "band", F.col("block").alias("second"),
+                          F.col("lo").alias("lo_2"), F.col("hi").alias("hi_2"))
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo_2")) & (F.col("lo") == F.col("hi_2"))
+    jobs = stash(blocks.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(
+        other, ["crowd", "band"]).where((F.col("block") <= F.col("second")) & ~one).select(
+        F.col("block").alias("first"), "second"), "jobs")
+    rows = dealt.select("rep", "root", "block")
+    sides = jobs.withColumn("block", F.col("first")).withColumn("side", F.lit(0)).unionByName(
+        jobs.where("first <> second").withColumn("block", F.col("second")).withColumn("side", F.lit(1)))
+    grouped = rows.join(sides, "block").select(
+        F.xxhash64("first").alias("x"), F.xxhash64("second").alias("y"), "side", "rep", "root").join(
+        sets.withColumnRenamed("id", "rep"), "rep").repartition("x", "y").sortWithinPartitions(
+        "x", "y", "side", "rep")
+
+    def compare(job: list[tuple]) -> dict:
+        left = [r for r in job if not r[0]]
+        right = [r for r in job if r[0]] or left
+        a, b = [[np.frombuffer(r[3], np.uint64) for r in x] for x in (left, right)]
+        both, number = _common(a, b), {}
+        size_a, size_b = (np.array([len(s) for s in x]) for x in (a, b))
+        root_a, root_b = (np.array([number.setdefault(str(r[2]), len(number)) for r in x])
+                          for x in (left, right))
+        hit = (100 * both >= percent * (size_a[:, None] + size_b - both)) & (root_a[:, None] != root_b)
+        i, j = np.nonzero(hit)
+        _, some = np.unique(root_a[i] * np.int64(len(number)) + root_b[j], return_index=True)
+        up = list(range(len(number)))
+        out = {"a": [], "b": []}
+        for x, y in zip(i[some].tolist(), j[some].tolist()):
+            p, q = int(root_a[x]), int(root_b[y])
+            while up[p] != p:
+                up[p] = p = up[up[p]]
+            while up[q] != q:
+                up[q] = q = up[up[q]]
+            if p != q:
+                up[p] = q
+                out["a"].append(left[x][1])
+                out["b"].append(right[y][1])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        job, now = [], None
+        for rows in batches:
+            for x, y, side, rep, root, words in zip(*(rows[c].to_pylist() for c in (
+                    "x", "y", "side", "rep", "root", "words")), strict=True):
+                if (x, y) != now and job:
+                    yield compare(job)
+                    job = []
+                now = x, y
+                job.append((side, rep, root, words))
+        if job:
+            yield compare(job)
+    return arrow_map(grouped, run, f"a {kind}, b {kind}")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs``.
 
@@ -214,24 +325,25 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
     edges = stash(verified(tested, sets, percent), "edges")
     roots = components(edges)
-    round_no = 0
-    while True:
-        rows = _open_buckets(members, roots)
-        large = rows if round_no == 0 else rows.where(F.col("n") > SMALL)
-        pairs = _star_pairs(large, round_no)
-        if round_no:
-            pairs = pairs.unionByName(_all_pairs(rows))
-        pairs = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "further")
-        if round_no and pairs.isEmpty():
-            break
-        new = stash(verified(pairs, sets, percent), "edges")
-        tested, edges = tested.unionByName(pairs), edges.unionByName(new)
-        found = not new.isEmpty()
-        if found:
-            roots = components(edges)
-        elif round_no:
-            break
-        round_no += 1
+    pairs = stash(_star_pairs(_open_buckets(members, roots)).distinct().join(
+        tested, ["a", "b"], "left_anti"), "further")
+    new = stash(verified(pairs, sets, percent), "edges")
+    tested, edges = tested.unionByName(pairs), edges.unionByName(new)
+    if not new.isEmpty():
+        roots = components(edges)
+    rows = stash(_open_buckets(members, roots), "open")
+    pairs = stash(_all_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"), "further")
+    last = [verified(pairs, sets, percent)]
+    crowded = rows.where(F.col("n") > SMALL)
+    if not crowded.isEmpty():
+        sizes = classes.select("rep", "n_shingles")
+        last.append(_block_links(stash(_blocks(crowded, sizes, percent), "blocks"), sets, percent))
+    found = False
+    for part in last:
+        new = stash(part, "edges")
+        found, edges = found or not new.isEmpty(), edges.unionByName(new)
+    if found:
+        roots = components(edges)
     ids = classes.select("n_shingles", "s1", "s2", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "s1", "s2", F.col("rep").alias("class_id"),

@@ -161,6 +161,34 @@ def test_near_dedup_equals_all_pairs(spark, k, percent):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_near_dedup_finds_linked_pairs_in_a_crowd(spark):
+    """400 versions of one text, all just under the threshold but for 200 pairs at it."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(1804)]
+    texts = []
+    for pair in range(200):
+        spots = rng.sample(range(360), 46)
+        for side, own in enumerate((spots[:26], spots[:6] + spots[26:])):
+            text = list(base)
+            for n, s in enumerate(own):
+                text[5 * s + 4] = f"p{pair}x{s}" + ("" if n < 6 else f"y{side}")
+            texts.append(" ".join(text))
+    order = rng.sample(range(400), 400)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(
+        docs_of(spark, [texts[i] for i in order]), 5, 80).collect()}
+    want = plain_components([(i, texts[x]) for i, x in enumerate(order)], 5, 80)
+    assert len({root for _, root in want.values()}) == 200
+    assert got == {i: root for i, (_, root) in want.items()}
+
+
+def test_shared_shingles_of_blocks():
+    rng = np.random.default_rng(2)
+    left, right = [[np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in sizes]
+                   for sizes in ((1, 9_000, 20_000), (3, 20_000))]
+    assert neardup._common(left, right).tolist() == [
+        [len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(edges).collect()}

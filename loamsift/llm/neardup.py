@@ -22,8 +22,9 @@ joins that Spark may split, and the members of one centre are dealt into salts o
 
 Defined cases: null or empty text has no shingles and is linked with nothing; fewer words than
 a shingle are one shingle; rows with a null doc_id are linked with nothing and kept (their
-component_id is null); exactly repeated rows are copies like any other, and rows that share a doc_id
-share its component; other columns pass through.
+component_id is null); rows of one doc_id with different texts are documents of their own;
+repeated rows of one doc_id and text share their flags in ``link``, and ``keep_one`` keeps one of
+them; other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamsift.llm.common import (NOT_SPACE, WordHasher, arrow_map, chunks, mix, seeds, shingles,
@@ -304,6 +305,17 @@ def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(grouped, run, f"a {kind}, b {kind}")
 
 
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id has several rows."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _text_id() -> Column:
+    """A doc_id with its text's digest, in the order of doc_id; null for a null doc_id."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest")))
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs``.
 
@@ -311,6 +323,15 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingles. class_id is the smallest doc_id with the same set, component_id the smallest one
     reachable over links; kept marks the documents that are their component's smallest.
     """
+    if not _repeats(docs):
+        return _link(docs, k, percent)
+    plain = [F.col(f"{c}.doc_id").alias(c) for c in ("class_id", "component_id")]
+    return _link(docs.select(_text_id().alias("doc_id"), "text"), k, percent).select(
+        F.col("doc_id.doc_id").alias("doc_id"), "n_shingles", *plain, "kept")
+
+
+def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``link`` where all rows of a doc_id have the same text."""
     docs = docs.select("doc_id", "text")
     sigs = stash(signatures(docs, k, half_keys(percent / 100)), "signatures")
     classes = stash(sigs.where("doc_id is not null and n_shingles > 0").groupBy(
@@ -359,6 +380,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each linked group, the one with the smallest doc_id."""
-    gone = link(docs, k, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each linked group, of the document with the smallest doc_id."""
+    if not _repeats(docs):
+        gone = _link(docs, k, percent).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_text_id", _text_id())
+    marks = stash(_link(docs.select(_text_id().alias("doc_id"), "text"), k, percent).where(
+        "doc_id is not null and n_shingles > 0").select(
+        F.col("doc_id").alias("_text_id"), "kept").distinct(), "marks")
+    order = Window.partitionBy("_text_id").orderBy(F.xxhash64(*[
+        f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
+    one = rows.join(marks.where("kept"), "_text_id", "left_semi").withColumn(
+        "_row", F.row_number().over(order)).where("_row = 1")
+    return rows.join(marks, "_text_id", "left_anti").select(*docs.columns).unionByName(
+        one.select(*docs.columns))

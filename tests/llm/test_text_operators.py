@@ -209,6 +209,17 @@ def test_near_dedup_odd_rows(spark, odd_docs, no_docs):
     assert neardup.link(no_docs, 5, 80).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_repeats(spark):
+    """A repeated row is kept once; a copy of one text of a doc_id does not take its other text."""
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (2, "g h i j k l"),
+             (3, ""), (3, ""), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(docs, 5, 80).collect())
+    assert kept == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (3, ""), (3, "")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.link(docs, 5, 80).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (None, None, True)}
+
+
 # --- decontamination ---
 def plain_contained(docs, items, k=5):
     def sets(t):

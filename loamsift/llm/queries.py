@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm import contain, kdtree, lines, neardup, ngram, packing, quality, topk, toxicity, warc
+from loamsift.llm import (
+    contain, kdtree, lines, neardup, ngram, packing, quality, topk, toxicity, warc, whitening)
 from loamsift.llm.common import held_out, table
 from loamsift.session import stash
 
@@ -169,3 +170,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     scored = ngram.score(table(spark, d, "documents"), ~held_out(10, 0))
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+@query("op11_whitening")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = whitening.whiten(table(spark, d, "embeddings"), k=4, scale=256)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))

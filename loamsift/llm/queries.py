@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamsift.llm import (
-    contain, kdtree, lines, neardup, ngram, packing, quality, topk, toxicity, warc, whitening)
+    contain, hardneg, kdtree, lines, neardup, ngram, packing, quality, topk, toxicity, urlglob, warc,
+    whitening)
 from loamsift.llm.common import held_out, table
 from loamsift.session import stash
 
@@ -176,3 +177,51 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     out = whitening.whiten(table(spark, d, "embeddings"), k=4, scale=256)
     return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+# Listed URL rules (action, host, path) and the globs that judge what they leave
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+URL_GLOBS = ["*casino**", "*free-bets**", "*cheap-pills**"]
+
+_LISTED = """CASE
+  WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END"""
+
+
+@query("op12_url_filter", f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://')
+  THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS own FROM r),
+p AS (SELECT page_id, {_LOWER.format('own')} AS host,
+  regexp_extract(substr(coalesce(rest, ''), length(own) + 1), '^[^?#]*') AS path FROM h),
+j AS (SELECT *, {_LISTED} AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN contains(host, 'casino') OR contains(host, 'free-bets') OR contains(host, 'cheap-pills')
+  THEN 'block' ELSE 'allow' END AS verdict FROM j""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rules = urlglob.host_rules(URL_RULES) + [urlglob.Rule(g, "block") for g in URL_GLOBS]
+    return urlglob.judge(table(spark, d, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op13_hard_negatives", """WITH v AS (SELECT vec_id,
+  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding,
+  lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(
+  list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+  ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score
+  AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("label", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)

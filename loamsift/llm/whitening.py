@@ -91,7 +91,7 @@ class _Centred:
         while many > FAN_IN:
             many = -(-many // FAN_IN)
             partial = arrow_map(partial.repartition(many), _add_up, schema)
-        return (np.array(r["v"]) for r in partial.toLocalIterator())
+        return (np.array(r["v"]) for r in partial.collect())
 
     def summed(self, fn) -> np.ndarray:
         """The sum over all tasks of ``fn``(centred vectors), a flat array."""

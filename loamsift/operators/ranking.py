@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loamsift.functions.text import digest
 from loamsift.session import stash
+from loamsift.sources.positions import PLACE, choose, file_backed, located
 
 # Sub-groups a large group is ranked in first.
 SPREAD = 1024
@@ -30,12 +31,12 @@ def dedup_texts(df: DataFrame, texts: Sequence[str], also: Sequence[str] = (),
                 order: str = "row_id") -> DataFrame:
     """Exact dedup on text columns by 256-bit digests; only narrow rows are ranked.
 
-    ``order`` is a unique id; the kept ids select the rows, so texts are not shuffled to be
-    compared.
+    ``order`` is a unique id. The first rows are picked by their places in the source's files,
+    so texts are not shuffled.
     """
-    keys = df.select(order, *also, *[digest(t).alias(f"_{t}") for t in texts])
-    first = first_per_key(keys, [*also, *[f"_{t}" for t in texts]], [order])
-    return df.join(first.select(order), order, "left_semi")
+    df = file_backed(df)
+    keys = located(df).select(order, *PLACE, *also, *[digest(t).alias(f"_{t}") for t in texts])
+    return choose(df, first_per_key(keys, [*also, *[f"_{t}" for t in texts]], [order]))
 
 
 def dedup_title_body(df: DataFrame) -> DataFrame:
@@ -45,10 +46,12 @@ def dedup_title_body(df: DataFrame) -> DataFrame:
 
 def dedup_title_then_body(df: DataFrame) -> DataFrame:
     """First of (title, label), then, among those, first of (body, label)."""
-    keys = df.select("row_id", "label", digest("title").alias("_t"), digest("body").alias("_b"))
+    df = file_backed(df)
+    keys = located(df).select("row_id", *PLACE, "label", digest("title").alias("_t"),
+                              digest("body").alias("_b"))
     first = first_per_key(first_per_key(keys, ["label", "_t"], ["row_id"]), ["label", "_b"],
                           ["row_id"])
-    return df.join(first.select("row_id"), "row_id", "left_semi")
+    return choose(df, first)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
@@ -72,21 +75,16 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return ranked.drop("_rn")
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is in ``ids``. No hint: Spark picks by the size of ``ids``."""
-    return df.join(ids, id_col, "left_semi")
-
-
 def cap_per_label(df: DataFrame, cap: int, labels: Sequence[str], size: Column,
                   id_col: str = "row_id") -> DataFrame:
     """Per label, the ``cap`` rows of largest ``size``; ties go to the lower id.
 
-    Only (label, size, id) is ranked; the wide rows are never shuffled.
+    Only (label, size, id, place) is ranked; the wide rows are never shuffled.
     """
-    narrow = df.where(F.col("label").isin(*labels)).select(
-        id_col, "label", size.alias("_size"))
-    kept = top_per_group(narrow, ["label"], [F.desc("_size"), id_col], cap).select(id_col)
-    return restrict_to(df, kept, id_col)
+    df = file_backed(df)
+    narrow = located(df).where(F.col("label").isin(*labels)).select(
+        id_col, "label", size.alias("_size"), *PLACE)
+    return choose(df, top_per_group(narrow, ["label"], [F.desc("_size"), id_col], cap))
 
 
 def within_quota(counts: DataFrame, target: int, have: DataFrame | None = None) -> DataFrame:

@@ -110,7 +110,10 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 def timeline(log: DataFrame, n: int = fixed.TIMELINE_ROWS,
              tie: Sequence[str] = ("label", "confidence", "source", "user")) -> DataFrame:
-    """The last ``n`` log rows in time order; ``tie`` orders rows of one instant."""
+    """The last ``n`` log rows in time order; ``tie`` orders rows of one instant.
+
+    A stored log gives the few days that can hold them: ``readers.read_newest``.
+    """
     last = log.orderBy(F.desc("ts"), *[F.desc(c) for c in tie]).limit(n)
     return last.orderBy("ts", *tie)
 

@@ -11,6 +11,7 @@ from loamsift import fixed
 from loamsift.operators import discovery, gates, summary
 from loamsift.operators.ranking import first_per_key, within_quota
 from loamsift.session import stash
+from loamsift.sources.positions import PLACE, choose, file_backed, located
 
 
 class Collected(NamedTuple):
@@ -64,8 +65,11 @@ def collect(issues: DataFrame, repos: DataFrame, aliases: DataFrame, seen: DataF
     """
     narrow = stash(candidates(issues, repos, aliases, seen, done, have, target, per_alias),
                    "candidates")
-    texts = first_per_key(issues.join(narrow.select("id").distinct(), "id", "left_semi"),
-                          ["id"], [F.desc("updated_at"), "repo"])
+    issues = file_backed(issues)
+    landed = located(issues).select("id", "updated_at", "repo", *PLACE)
+    newest = first_per_key(landed.join(narrow.select("id").distinct(), "id", "left_semi"),
+                           ["id"], [F.desc("updated_at"), "repo", *PLACE])
+    texts = choose(issues, newest)
     judged = stash(texts.withColumn("reason", gates.rejection_reason()), "judged")
     pool = stash(narrow.join(judged.where(F.col("reason").isNull()).select("id"), "id"), "pool")
     pair = ["label", "repo", "stars"]

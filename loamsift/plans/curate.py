@@ -3,8 +3,10 @@
 The heavy part, cleaning whole texts, runs once over all rows and yields a narrow
 verdict per row: why it was dropped, or 256-bit keys of its cleaned texts and its
 word count. Dedup and the per-label cap work on verdicts only, so wide text is never
-shuffled. The few kept ids then select the rows of the source that are cleaned again
-for output. ``row_id`` must be stored with the data, so that both scans agree on it.
+shuffled: verdicts carry the place of their row in the source's files, and the places of
+the kept rows filter a second scan, whose rows are cleaned again for output. ``row_id``
+must be stored with the data, so that both scans agree on it. A source that is not a scan of
+Parquet files is stored first.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from loamsift import fixed
 from loamsift.functions import cleaning, language
 from loamsift.functions.text import digest, is_blank, word_count
 from loamsift.operators import gates, summary
-from loamsift.operators.ranking import first_per_key, restrict_to, shuffled, top_per_group
-from loamsift.session import stash
+from loamsift.operators.ranking import first_per_key, shuffled, top_per_group
+from loamsift.session import spread, stash
+from loamsift.sources.positions import PLACE, choose, file_backed, located
 
 
 class Recipe(NamedTuple):
@@ -63,16 +66,17 @@ FINAL = Recipe(
 
 
 def verdicts(raw: DataFrame, recipe: Recipe) -> DataFrame:
-    """row_id, label, dropped_at, title_key, body_key, body_words, complete.
+    """row_id, place, label, dropped_at, title_key, body_key, body_words, complete.
 
+    ``raw`` must be file-backed (``positions.file_backed``).
     No row is filtered: rows refused before cleaning travel with NULL text, which
     the rule chain passes over, so one pass serves both the result and the funnel.
     """
     label = gates.normalised_label()
     early = F.when(~gates.valid_label(label, recipe.labels), "label").when(
         recipe.screen(), recipe.screen_name)
-    marked = raw.select(
-        "row_id", label.alias("label"), early.alias("_early"),
+    marked = located(raw).select(
+        "row_id", *PLACE, label.alias("label"), early.alias("_early"),
         (~is_blank("repo") if "repo" in recipe.required else F.lit(True)).alias("complete"),
         F.when(early.isNull(), F.col("title")).alias("title"),
         F.when(early.isNull(), F.col("body")).alias("body"))
@@ -87,7 +91,7 @@ def verdicts(raw: DataFrame, recipe: Recipe) -> DataFrame:
     # observe() is a barrier: without it a filter on dropped_at would be pushed below
     # and all of the above evaluated twice.
     return judged.select(
-        "row_id", "label", "dropped_at",
+        "row_id", *PLACE, "label", "dropped_at",
         F.when(passed, digest("title")).alias("title_key"),
         F.when(passed, digest("body")).alias("body_key"),
         "body_words", "complete").observe(f"verdicts-{uuid.uuid4().hex}",
@@ -104,14 +108,14 @@ def survivors(v: DataFrame, recipe: Recipe) -> DataFrame:
 
 def balanced(unique: DataFrame, recipe: Recipe) -> DataFrame:
     """Per label the longest bodies up to the cap, if any; ties go to the lower row_id."""
-    narrow = unique.select("row_id", "label", "body_words", "complete")
+    narrow = unique.select("row_id", *PLACE, "label", "body_words", "complete")
     return narrow if recipe.cap is None else top_per_group(
         narrow, ["label"], [F.desc("body_words"), "row_id"], recipe.cap)
 
 
-def finish(raw: DataFrame, kept_ids: DataFrame, recipe: Recipe) -> DataFrame:
-    """Clean the kept rows for output."""
-    rows = restrict_to(raw, kept_ids, "row_id")
+def finish(raw: DataFrame, kept: DataFrame, recipe: Recipe) -> DataFrame:
+    """Clean the rows at the kept places for output."""
+    rows = choose(raw, kept)
     rows = rows.select("row_id", "repo", "title", "body", gates.normalised_label().alias("label"))
     out = gates.complete_rows(cleaning.clean(rows, recipe.cleaners), recipe.required,
                               recipe.labels)
@@ -135,13 +139,14 @@ def curate(raw: DataFrame, recipe: Recipe) -> DataFrame:
 class Curation:
     """One run whose parts share a single cleaning pass.
 
-    Verdicts, kept ids and the result are written to the shared scratch folder on
-    first use, so the source is scanned twice however many reports are drawn. Counts come from these tables, not from accumulators, so a task that runs
-    twice cannot be counted twice.
+    Verdicts, kept places and the result are written to the shared scratch folder on first
+    use, so the source is scanned twice however many reports are drawn. Counts come from these
+    tables, not from accumulators, so a task that runs twice cannot be counted twice. A source
+    whose few row groups would leave most cores idle is dealt out first.
     """
 
     def __init__(self, raw: DataFrame, recipe: Recipe):
-        self.raw, self.recipe = raw, recipe
+        self.raw, self.recipe = file_backed(spread(raw)), recipe
 
     @cached_property
     def verdicts(self) -> DataFrame:
@@ -150,7 +155,7 @@ class Curation:
     @cached_property
     def survivors(self) -> DataFrame:
         rows = survivors(self.verdicts, self.recipe)
-        return stash(rows.select("row_id", "label", "body_words", "complete"),
+        return stash(rows.select("row_id", *PLACE, "label", "body_words", "complete"),
                      f"survivors-{self.recipe.name}")
 
     @cached_property
@@ -159,7 +164,7 @@ class Curation:
 
     @cached_property
     def table(self) -> DataFrame:
-        return stash(finish(self.raw, self.kept.select("row_id"), self.recipe),
+        return stash(finish(self.raw, self.kept, self.recipe),
                      f"curated-{self.recipe.name}")
 
     def result(self) -> DataFrame:

@@ -26,12 +26,16 @@ def score_upload(upload: DataFrame, score: Callable[[DataFrame], DataFrame],
     return scoring.wide_scores(scored, labels, upload.columns)
 
 
-def analytics(log: DataFrame) -> dict[str, DataFrame]:
-    """The four result tables of the log view; all empty or zero for an empty log."""
+def analytics(log: DataFrame, newest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The result tables of the log view; all empty or zero for an empty log.
+
+    ``newest`` are the log's last days (``readers.read_newest``), so that the timeline does not
+    scan the whole log.
+    """
     return {
         "labels": log.groupBy("label").agg(
             F.count("*").alias("n"),
             mean1("confidence").alias("avg_confidence")),
         "sources": summary.source_counts(log),
-        "timeline": summary.timeline(log),
+        "timeline": summary.timeline(log if newest is None else newest),
     }

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -65,3 +66,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out over the cores when most of them would stay idle.
+
+    A file cannot be read by more tasks than it has row groups, and cleaning costs far more than a
+    shuffle. Inputs with twice as many splits as the cluster has cores are left alone unseen; of
+    others the filled splits are counted, from the files' footers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    filled = df.select(F.spark_partition_id()).distinct().count()
+    return df if 2 * filled > cores else df.repartition(cores)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,8 @@ from pyspark.sql import Window as W
 from loamsift import fixed
 from loamsift.session import stash
 from loamsift.sources import schemas
+from loamsift.sources.committed import CommittedTable
+from loamsift.sources.csv_split import PLACED, read_split
 
 # Quotes are doubled, bodies may hold newlines, blanks are data.
 CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
@@ -36,17 +40,24 @@ def require_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None,
+             split: bool = False) -> DataFrame:
     """All-text CSV scan with header clean-up and missing-value tokens as NULL.
 
     Columns are bound by the header's names, whatever their order; ``columns`` picks some of
     them and fails when one is missing. Files whose headers differ are refused. Multi-line CSV
-    is read one file per task, so large inputs should come as many files.
+    is read one file per task; with ``split`` large files are read by many tasks, and rows
+    carry ``_file``, ``_block`` and ``_line``, their place in the files.
     """
-    df = normalise_header(spark.read.options(**CSV_READ).csv(path))
+    if split:
+        df = normalise_header(read_split(spark, path, CSV_READ))
+    else:
+        df = normalise_header(spark.read.options(**CSV_READ).csv(path))
     if columns:
         df = require_columns(df, columns)
-    return df.select([na_to_null(F.col(c)).alias(c) for c in columns or df.columns])
+    place = list(PLACED) if split else []
+    own = columns or [c for c in df.columns if c not in place]
+    return df.select(*place, *[na_to_null(F.col(c)).alias(c) for c in own])
 
 
 def read_issue_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -66,18 +77,22 @@ def store_with_row_ids(df: DataFrame, path: str) -> DataFrame:
 
     Ids count from 0 in the order of (file path, position in the file), so a lower id is an
     earlier row however Spark packs files into tasks. A block of a file is read by one task
-    in order: its first id follows from the row counts of the blocks before it.
+    in order, or its rows carry their place (``read_csv`` with ``split``): a block's first id
+    follows from the row counts of the blocks before it.
     """
-    tagged = stash(df.withColumns({
+    placed = all(c in df.columns for c in PLACED)
+    place = {"_at": F.col("_line")} if placed else {
         "_file": F.input_file_name(), "_block": F.input_file_block_start(),
-        "_at": F.monotonically_increasing_id()}), "tagged")
+        "_at": F.monotonically_increasing_id()}
+    tagged = stash(df.withColumns(place), "tagged")
     blocks = tagged.groupBy("_file", "_block").agg(
         F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = [c for c in df.columns if not placed or c not in PLACED]
     tagged.join(blocks, ["_file", "_block"]).withColumn(
         "row_id", F.col("_offset") + F.col("_at") - F.col("_first")).select(
-        *df.columns, "row_id").write.mode("errorifexists").parquet(path)
+        *own, "row_id").write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -146,12 +161,34 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(seen ids, done pairs) of an earlier run; empty tables when there is none."""
-    def load(name: str, schema: str) -> DataFrame:
-        folder = f"{path}/{name}"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
-            return spark.read.schema(schema).parquet(folder)
-        return spark.createDataFrame([], schema)
-    return load("seen", schemas.SEEN), load("done", schemas.DONE)
+    """(seen ids, done pairs) of earlier runs; empty tables when there is none."""
+    state = CommittedTable(spark, path)
+    return state.read("seen", schemas.SEEN), state.read("done", schemas.DONE)
+
+
+def read_log(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """The committed score log with its ``day``, all of it or some days."""
+    return CommittedTable(spark, path).read("log", f"{schemas.SCORE_LOG}, day date", "day", days)
+
+
+def newest_days(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The fewest newest days that hold ``n`` log rows, by the counts of the commit list.
+
+    Rows without a time come last: they are among the days when all others hold fewer rows.
+    """
+    counts: dict[str, int] = {}
+    for entry in CommittedTable(spark, path).listing().of("log"):
+        for day, rows in entry.counts.items():
+            counts[day] = counts.get(day, 0) + rows
+    days, found = [], 0
+    for day in sorted(counts, reverse=True):  # "" (no time) is the smallest
+        if found >= n:
+            break
+        days.append(day)
+        found += counts[day]
+    return days
+
+
+def read_newest(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Whole newest days of the log that hold ``n`` rows: what a view of the last rows needs."""
+    return read_log(spark, path, newest_days(spark, path, n)).drop("day")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamsift.sources.committed import CommittedTable, Part
+
 CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true", "emptyValue": "",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -32,10 +36,14 @@ def write_report(report: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def save_state(path: str, seen: DataFrame, done: DataFrame) -> None:
-    """Append newly seen ids and finished (label, repo) pairs."""
-    seen.select("id").write.mode("append").parquet(f"{path}/seen")
-    done.select("label", "repo").distinct().write.mode("append").parquet(f"{path}/done")
+def save_state(path: str, seen: DataFrame, done: DataFrame, token: str | None = None) -> bool:
+    """Add newly seen ids and finished (label, repo) pairs, both or neither.
+
+    A repeated call with the ``token`` of an earlier one adds nothing and returns False.
+    """
+    return CommittedTable(seen.sparkSession, path).commit(
+        token or uuid.uuid4().hex, seen=seen.select(F.col("id").cast("long").alias("id")),
+        done=done.select("label", "repo").distinct())
 
 
 def write_batch(scored: DataFrame, path: str, batch_id: str) -> None:
@@ -44,7 +52,12 @@ def write_batch(scored: DataFrame, path: str, batch_id: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def append_log(entries: DataFrame, path: str) -> None:
-    """Score-log rows, one folder per day."""
-    (entries.select("ts", "label", "confidence", "source", "user")
-     .withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path))
+def append_log(entries: DataFrame, path: str, token: str | None = None, replace: bool = False) -> bool:
+    """Add score-log rows, one folder per day, as one commit.
+
+    A repeated call with the ``token`` of an earlier one adds nothing and returns False; with
+    ``replace`` its rows take the place of the earlier ones.
+    """
+    rows = entries.select("ts", "label", "confidence", "source", "user").withColumn("day", F.to_date("ts"))
+    return CommittedTable(entries.sparkSession, path).commit(
+        token or uuid.uuid4().hex, replace, log=Part(rows, "day"))

@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loamsift.functions.scores import mean1
 from loamsift.operators.ranking import first_per_key
+from loamsift.sources.committed import CommittedTable
+from loamsift.sources.seen import SeenStore
+from loamsift.sources.writers import append_log
 
 
 def file_stream(spark: SparkSession, folder: str, schema, names: str | None = None,
@@ -35,25 +38,29 @@ def bounded_dedup(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> Da
 
 
 def exact_intake(stream: DataFrame, out: str, checkpoint: str, id_col: str,
-                 order: Sequence[str], buckets: int = 256) -> StreamingQuery:
-    """First row per id over the whole history.
+                 order: Sequence[str], buckets: int = 256,
+                 opened: list | None = None) -> StreamingQuery:
+    """First row per id over the whole history, into a ``SeenStore`` at ``out``.
 
-    Every micro-batch owns a folder, so a replayed batch replaces its own output. Rows lie
-    in ``buckets`` folders by a hash of the id; a batch is compared with the ids of earlier
-    batches in the buckets it touches, other folders are not read.
+    A micro-batch is one commit of rows, ids and their filter, so a replayed batch adds
+    nothing. Of earlier ids only the folders that may hold one of the batch's are read;
+    ``opened`` collects them.
     """
+    id_type = stream.schema[id_col].dataType.simpleString()
+
     def each(df: DataFrame, batch: int) -> None:
-        fresh = first_per_key(df, [id_col], order).withColumn(
-            "bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
-        if batch > 0:
-            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-            earlier = df.sparkSession.read.parquet(out).where(
-                (F.col("batch") < batch) & F.col("bucket").isin(touched)).select(id_col)
-            fresh = fresh.join(earlier, id_col, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch}")
+        store = SeenStore(df.sparkSession, out, id_col, id_type, buckets)
+        read = store.add(df, order, f"{checkpoint}-{batch}")
+        if opened is not None:
+            opened.append(read)
     return _run(stream, checkpoint, each)
 
 
+def intake_rows(spark: SparkSession, out: str, schema) -> DataFrame:
+    """What ``exact_intake`` has kept so far; ``schema`` is the stream's."""
+    return CommittedTable(spark, out).read("rows", schema)
+
+
 def score_stream(stream: DataFrame, out: str, checkpoint: str,
                  to_log: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Score rows as they land; ``to_log`` turns a batch into score-log rows."""
@@ -63,12 +70,13 @@ def score_stream(stream: DataFrame, out: str, checkpoint: str,
 
 
 def score_and_append(stream: DataFrame, log: str, checkpoint: str,
-                     to_log: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """As ``score_stream``, into a log by day and batch; a replayed batch replaces its rows."""
+                     to_log: Callable[[DataFrame], DataFrame], name: str = "scores") -> StreamingQuery:
+    """As ``score_stream``, into a committed log; a replayed batch replaces its rows.
+
+    ``name`` tells the batches of several streams into one log apart.
+    """
     def each(df: DataFrame, batch: int) -> None:
-        (to_log(df).withColumns({"day": F.to_date("ts"), "batch": F.lit(batch)})
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day", "batch").parquet(log))
+        append_log(to_log(df), log, f"{name}-{batch}", replace=True)
     return _run(stream, checkpoint, each)
 
 

@@ -44,12 +44,26 @@ def _(spark, d):
 @query("S01_file_order", f"""{_I} SELECT repo, title FROM issues
 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY row_id % 10 <> 0, row_id) = 1""")
 def _(spark, d):
-    """A small file and a large one: the row of the earlier file wins a tie."""
+    """A small folder and a large one: the row of the earlier file wins a tie."""
+    return _first_in_files(spark, d, split=False)
+
+
+@query("S01_csv_split", f"""{_I} SELECT repo, title FROM issues
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY row_id % 10 <> 0, row_id) = 1""")
+def _(spark, d):
+    """The same through blocks of the files, bodies with newlines included."""
+    return _first_in_files(spark, d, split=True)
+
+
+def _first_in_files(spark, d, split):
     path = scratch_path(spark, "ordered-csv")
     for name, part in (("a", "row_id % 10 = 0"), ("b", "row_id % 10 <> 0")):
-        rows = issues(spark, d).where(part).select("row_id", "repo", "title").repartition(1)
-        writers.write_csv(rows.sortWithinPartitions("row_id").drop("row_id"), f"{path}/{name}")
-    stored = readers.store_with_row_ids(readers.read_csv(spark, f"{path}/*"), f"{path}-stored")
+        rows = issues(spark, d).where(part).select("row_id", "repo", "title", "body")
+        # part files are numbered in the order of the ranges
+        ordered = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
+        writers.write_csv(ordered.drop("row_id"), f"{path}/{name}")
+    scan = readers.read_csv(spark, f"{path}/*", ("repo", "title", "body"), split)
+    stored = readers.store_with_row_ids(scan, f"{path}-stored")
     return first_per_key(stored, ["repo"], ["row_id"]).select("repo", "title")
 
 
@@ -168,17 +182,62 @@ def _(spark, d):
                                                  F.concat_ws("|", "label", "repo").alias("key")))
 
 
-@query("S14_score_log", f"""{_LOG} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, label,
-confidence, source, uid FROM log""")
+@query("S12_state_replayed", f"""{cte(seen=views.SEEN, done=views.DONE)}
+SELECT 'seen' AS part, CAST(id AS VARCHAR) AS key, true AS fresh FROM seen
+UNION ALL SELECT 'done', label || '|' || repo, true FROM done""")
+def _(spark, d):
+    """The same run saved twice, as after a restart, on top of one half saved by another."""
+    path = scratch_path(spark, "state")
+    seen, done = views.seen_ids(spark, d), views.done_pairs(spark, d)
+    writers.save_state(path, seen.where("id % 2 = 0"), done.limit(0), "first")
+    fresh = writers.save_state(path, seen.where("id % 2 = 1"), done, "second")
+    again = writers.save_state(path, seen, done, "second")
+    ids, pairs = readers.read_state(spark, path)
+    flag = F.lit(fresh and not again).alias("fresh")
+    return ids.select(F.lit("seen").alias("part"), F.col("id").cast("string").alias("key"), flag
+                      ).unionByName(pairs.select(F.lit("done").alias("part"),
+                                                 F.concat_ws("|", "label", "repo").alias("key"), flag))
+
+
+_LOG_ROWS = f"""{_LOG} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, label,
+confidence, source, uid FROM log"""
+
+
+def _log_rows(log):
+    return log.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "label",
+                      "confidence", "source", F.col("user").alias("uid"))
+
+
+@query("S14_score_log", _LOG_ROWS)
 def _(spark, d):
     path = scratch_path(spark, "log")
     log = score_log(spark, d)
     for source in ("single", "batch"):
         writers.append_log(log.where(F.col("source") == source), path)
-    return spark.read.schema("ts timestamp, label string, confidence double, source string, "
-                             "user string, day date").parquet(path).select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "label", "confidence",
-        "source", F.col("user").alias("uid"))
+    return _log_rows(readers.read_log(spark, path))
+
+
+@query("S14_log_replayed", _LOG_ROWS)
+def _(spark, d):
+    """Batches that come twice: one is skipped, one replaces a half that was wrong."""
+    path = scratch_path(spark, "log")
+    log = score_log(spark, d)
+    single, batch = (log.where(F.col("source") == s) for s in ("single", "batch"))
+    writers.append_log(single, path, "a")
+    writers.append_log(single, path, "a")
+    writers.append_log(batch.withColumn("confidence", F.lit(0.0)), path, "b")
+    writers.append_log(batch, path, "b", replace=True)
+    return _log_rows(readers.read_log(spark, path))
+
+
+@query("W07_timeline_of_stored_log", f"""{_LOG}, t AS (SELECT ts, label, confidence, source, uid FROM log
+ORDER BY ts DESC, label DESC, confidence DESC, source DESC, uid DESC LIMIT 120)
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, label, confidence, source, uid FROM t""")
+def _(spark, d):
+    """The last rows of a log by days: only the newest days are opened."""
+    path = scratch_path(spark, "log")
+    writers.append_log(score_log(spark, d), path)
+    return _log_rows(summary.timeline(readers.read_newest(spark, path, fixed.TIMELINE_ROWS)))
 
 
 # --- curation --------------------------------------------------------------
@@ -578,6 +637,9 @@ def _(spark, d):
 
 
 # --- streams: real runs over the landed tables -----------------------------
+LANDINGS = 20
+
+
 def _stream(spark, d, name):
     return streams.file_stream(spark, d, views.table(spark, d, name).schema, f"{name}.parquet")
 
@@ -591,17 +653,17 @@ def _log_stream(spark, d):
 @query("T01_first_wins_intake", """SELECT user_id, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
 def _(spark, d):
-    """Three files land one after the other, each a batch of its own."""
-    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "intake")
+    """Landings in the order of event_id; after each the stream runs until it has no more files."""
+    landing, out, checkpoint = (scratch_path(spark, x) for x in ("landing", "intake", "ckpt"))
     events = views.table(spark, d, "events")
-    cuts = events.agg(*[F.percentile_approx("event_id", p).alias(str(p)) for p in (0.3, 0.6)]).first()
-    third = F.when(F.col("event_id") <= cuts[0], 0).when(F.col("event_id") <= cuts[1], 1).otherwise(2)
-    for i in range(3):
-        events.where(third == i).coalesce(1).write.mode("append").parquet(landing)
-    stream = streams.file_stream(spark, landing, events.schema, "*.parquet", max_files=1)
-    streams.exact_intake(stream, out, scratch_path(spark, "ckpt"), "user_id",
-                         ["event_id"]).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_id")
+    cuts = events.agg(F.percentile_approx("event_id", [i / LANDINGS for i in range(1, LANDINGS)])).first()[0]
+    part = sum((F.col("event_id") > c).cast("int") for c in cuts)
+    landed = stash(events.withColumn("part", part), "landed")
+    for i in range(LANDINGS):
+        landed.where(F.col("part") == i).drop("part").write.mode("append").parquet(landing)
+        stream = streams.file_stream(spark, landing, events.schema)
+        streams.exact_intake(stream, out, checkpoint, "user_id", ["event_id"], buckets=16).awaitTermination()
+    return streams.intake_rows(spark, out, events.schema).select("user_id", "event_id")
 
 
 @query("T02_score_stream", f"""{_SOFT} SELECT predicted_label AS label, 'single' AS source,

@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamsift.session import spread
+
 _NL = "chr(10)"
 
-ISSUES = f"""
-SELECT doc_id AS id, doc_id AS row_id, source AS repo,
-  CASE WHEN doc_id % 11 = 0 THEN '  BUG ' ELSE
+ISSUE_COLUMNS = {
+    "id": "doc_id",
+    "row_id": "doc_id",
+    "repo": "source",
+    "label": """CASE WHEN doc_id % 11 = 0 THEN '  BUG ' ELSE
     CASE doc_id % 7 WHEN 0 THEN 'bug' WHEN 1 THEN 'enhancement' WHEN 2 THEN 'documentation'
       WHEN 3 THEN 'question' WHEN 4 THEN 'performance' WHEN 5 THEN 'refactor' ELSE 'wontfix' END
-  END AS label,
-  CASE length(text) % 5 WHEN 0 THEN '[BUG] ' WHEN 1 THEN '(fix) ' WHEN 2 THEN 'codecov #12 '
-    WHEN 3 THEN '&amp; ' ELSE '' END || replace(left(text, 60), {_NL}, ' ') AS title,
-  CASE length(text) % 10
+  END""",
+    "title": f"""CASE length(text) % 5 WHEN 0 THEN '[BUG] ' WHEN 1 THEN '(fix) ' WHEN 2 THEN 'codecov #12 '
+    WHEN 3 THEN '&amp; ' ELSE '' END || replace(left(text, 60), {_NL}, ' ')""",
+    "body": f"""CASE length(text) % 10
     WHEN 0 THEN '## Steps to reproduce' || {_NL} || text
     WHEN 1 THEN '<!-- hidden note -->' || chr(13) || {_NL} || text || {_NL} || '- [x] done'
       || {_NL} || '- item'
@@ -34,18 +38,18 @@ SELECT doc_id AS id, doc_id AS row_id, source AS repo,
       || ' [CODE] [URL] [stacktrace] <b>x</b> &nbsp;'
     WHEN 7 THEN '**API Name**: x' || {_NL} || text
     WHEN 8 THEN 'fails with code ' || CAST(length(text) AS STRING) || {_NL} || text
-    ELSE text END AS body,
-  CASE WHEN doc_id % 23 = 0 THEN 'dependabot[bot]'
-    ELSE 'user' || CAST(doc_id % 97 AS STRING) END AS login,
-  CASE WHEN doc_id % 31 = 0 THEN 'Bot' ELSE 'User' END AS user_type,
-  CASE WHEN doc_id % 5 = 0 THEN 'open' ELSE 'closed' END AS state,
-  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 4 END AS comments,
-  doc_id % 17 = 0 AS is_pr,
-  CASE doc_id % 7 WHEN 0 THEN 'kind/bug' WHEN 1 THEN 'feature' WHEN 2 THEN 'docs'
-    WHEN 3 THEN 'help' WHEN 4 THEN 'perf' WHEN 5 THEN 'cleanup' ELSE 'wontfix' END AS alias1,
-  CASE WHEN doc_id % 3 = 0 THEN 'question' ELSE 'other' END AS alias2
-FROM {{documents}}
-"""
+    ELSE text END""",
+    "login": """CASE WHEN doc_id % 23 = 0 THEN 'dependabot[bot]'
+    ELSE 'user' || CAST(doc_id % 97 AS STRING) END""",
+    "user_type": "CASE WHEN doc_id % 31 = 0 THEN 'Bot' ELSE 'User' END",
+    "state": "CASE WHEN doc_id % 5 = 0 THEN 'open' ELSE 'closed' END",
+    "comments": "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 4 END",
+    "is_pr": "doc_id % 17 = 0",
+    "alias1": """CASE doc_id % 7 WHEN 0 THEN 'kind/bug' WHEN 1 THEN 'feature' WHEN 2 THEN 'docs'
+    WHEN 3 THEN 'help' WHEN 4 THEN 'perf' WHEN 5 THEN 'cleanup' ELSE 'wontfix' END""",
+    "alias2": "CASE WHEN doc_id % 3 = 0 THEN 'question' ELSE 'other' END",
+}
+ISSUES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in ISSUE_COLUMNS.items()) + " FROM {documents}"
 
 SCORE_LOG = """
 SELECT event_id, ts, event_type AS label, value AS confidence,
@@ -121,7 +125,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ISSUES, documents=documents(spark, sf_dir))
+    """The view as a projection of the scan, so that rows keep their places in the files."""
+    return spread(documents(spark, sf_dir)).selectExpr(
+        *[f"{e} AS {n}" for n, e in ISSUE_COLUMNS.items()])
 
 
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:

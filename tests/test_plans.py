@@ -5,6 +5,7 @@ from loamsift import fixed
 from loamsift.operators import summary
 from loamsift.plans import collect as collecting
 from loamsift.plans import curate as curation
+from loamsift.sources.positions import file_backed
 from suite import views
 from tests import samples
 from tests.conftest import SF_DIR
@@ -89,7 +90,7 @@ def plan_text(df):
 
 
 def test_cleaning_runs_once_per_scan(spark):
-    df = views.issues(spark, SF_DIR)
+    df = file_backed(views.issues(spark, SF_DIR))
     v = curation.verdicts(df, curation.V3).where(F.col("dropped_at").isNull())
     optimized = v._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("java_method") == 2  # one NFKC for the title, one for the body

@@ -1,3 +1,4 @@
+import glob
 import json
 import os
 
@@ -93,8 +94,8 @@ def test_state_log_batch_and_report(spark, tmp_path):
                     "'single' source, 'u' user")
     writers.append_log(log, f"{tmp_path}/l")
     writers.append_log(log, f"{tmp_path}/l")
-    assert spark.read.parquet(f"{tmp_path}/l").count() == 2
-    assert os.path.isdir(f"{tmp_path}/l/day=2024-01-02")
+    assert readers.read_log(spark, f"{tmp_path}/l").count() == 2
+    assert len(glob.glob(f"{tmp_path}/l/log/*/day=2024-01-02")) == 2
     report = spark.createDataFrame([("1 stages", 2, "b", "7"), ("1 stages", 1, "a", "9")],
                                    "section string, line int, metric string, value string")
     writers.write_report(report, f"{tmp_path}/r")

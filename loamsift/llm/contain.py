@@ -61,6 +61,13 @@ class ItemBlock:
                 tables.append((low[order], members[order], seen))
             self.classes.append((width, tables))
 
+    @classmethod
+    def of(cls, state: dict) -> ItemBlock:
+        """The block with the state ``vars`` gave: plain arrays travel without an import path."""
+        block = cls.__new__(cls)
+        block.__dict__.update(state)
+        return block
+
     def search(self, words: np.ndarray, first: np.ndarray, threshold: float
                ) -> Iterator[tuple[int, int, int]]:
         """(document, item, shared shingles) over the threshold, of documents' shingles."""
@@ -105,10 +112,17 @@ def item_blocks(items: DataFrame, k: int) -> Iterator[tuple[list, ItemBlock]]:
         for b in batches:
             s, first = shingles(*hasher(text_bytes(b["text"])), k)
             sets = [np.unique(s[x:y]) for x, y in zip(first[:-1], first[1:])]
+            yield {"item_id": b["item_id"], "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            sets = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b["parts"].to_pylist()]
             yield {"item_id": b["item_id"], "n": [len(x) for x in sets],
                    "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
-    table = arrow_map(items.select("item_id", "text").distinct(), run,
-                      f"item_id {kind}, n int, shingles binary").where("n > 0")
+    # the texts of one item_id are one item
+    parts = arrow_map(items.select("item_id", "text").distinct(), run, f"item_id {kind}, shingles binary")
+    parts = parts.groupBy("item_id").agg(F.collect_list("shingles").alias("parts"))
+    table = arrow_map(parts, united, f"item_id {kind}, n int, shingles binary").where("n > 0")
     total = table.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // BLOCK_SHINGLES)
     for block in range(n_blocks):
@@ -134,11 +148,11 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
               "containment double")
     found = spark.createDataFrame([], schema)
     for ids, tables in item_blocks(items, k):
-        shared_block = spark.sparkContext.broadcast(tables)
+        shared_block = spark.sparkContext.broadcast(vars(tables))
         id_array = pa.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch], sent=shared_block, id_array=id_array):
-            hasher, block = WordHasher(ALPHANUMERIC), sent.value
+            hasher, block = WordHasher(ALPHANUMERIC), ItemBlock.of(sent.value)
             for b in batches:
                 out = list(_search(text_bytes(b["text"]), hasher, block, k, threshold))
                 sizes = [len(block.sets[x[1]]) for x in out]
@@ -154,10 +168,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5,
                       threshold: float = 0.8) -> DataFrame:
     """The documents that hold no item; all columns stay, nothing is shuffled."""
     for _, tables in item_blocks(items, k):
-        sent = docs.sparkSession.sparkContext.broadcast(tables)
+        sent = docs.sparkSession.sparkContext.broadcast(vars(tables))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hasher, block = WordHasher(ALPHANUMERIC), sent.value
+            hasher, block = WordHasher(ALPHANUMERIC), ItemBlock.of(sent.value)
             for b in batches:
                 keep = np.ones(len(b), bool)
                 keep[[x[0] for x in _search(text_bytes(b["text"]), hasher, block, k,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loamsift.llm.common import SPACE, arrow_map, text_bytes
+from loamsift.llm.common import SPACE, arrow_map, text_bytes, unused
 from loamsift.session import stash
 
 FOUND, EDGE, SUMMARY = 0, 1, 2
@@ -194,14 +194,15 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
-def _with_bitmaps(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool) -> DataFrame:
-    """``docs`` with a column ``_keep``; all columns stay."""
+def _with_bitmaps(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool
+                  ) -> tuple[DataFrame, str]:
+    """``docs`` with a further column of bitmaps, and its name; all columns stay."""
+    of, map_hash, keep, own_hash = unused(docs, "_id", "_map_hash", "_keep", "_hash")
     maps = keep_bitmaps(dropped_lines(docs, min_docs, min_chars, keep_first)).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_map_hash"),
-        F.col("keep").alias("_keep"))
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    return own.join(maps, F.col("doc_id").eqNullSafe(F.col("_id"))
-                    & (F.col("_hash") == F.col("_map_hash")), "left").drop("_id", "_hash", "_map_hash")
+        F.col("doc_id").alias(of), F.col("text_hash").alias(map_hash), F.col("keep").alias(keep))
+    own = docs.withColumn(own_hash, F.xxhash64("text"))
+    return own.join(maps, F.col("doc_id").eqNullSafe(F.col(of))
+                    & (F.col(own_hash) == F.col(map_hash)), "left").drop(of, own_hash, map_hash), keep
 
 
 def _kept(text: pa.Array, keep: pa.Array) -> tuple[pa.Array, list[int], list[int]]:
@@ -213,12 +214,12 @@ def _kept(text: pa.Array, keep: pa.Array) -> tuple[pa.Array, list[int], list[int
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                 keep_first: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of every row, with the text that stays."""
-    both = _with_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first)
+    both, keep = _with_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            text, n_lines, n_dropped = _kept(b["text"], b["_keep"])
+            text, n_lines, n_dropped = _kept(b["text"], b[keep])
             yield {"doc_id": b["doc_id"], "text": text, "n_lines": n_lines, "n_dropped": n_dropped}
     return arrow_map(both, run, f"doc_id {kind}, text string, n_lines long, n_dropped long")
 
@@ -226,11 +227,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                   keep_first: bool = False) -> DataFrame:
     """``docs`` without the repeated lines, all columns kept; ``n_chars`` follows the text."""
-    both = _with_bitmaps(docs, min_docs, min_chars, keep_first)
+    both, keep = _with_bitmaps(docs, min_docs, min_chars, keep_first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, _, dropped = _kept(b["text"], b["_keep"])
+            text, _, dropped = _kept(b["text"], b[keep])
             text = pc.if_else(pc.is_null(b["text"]), pa.scalar(None, pa.string()), text)
             changed = pa.array(np.array(dropped, bool))
             columns = {}

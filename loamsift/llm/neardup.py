@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from loamsift.llm.common import (NOT_SPACE, WordHasher, arrow_map, chunks, mix, seeds, shingles,
                                  text_bytes)
 from loamsift.session import stash
+from loamsift.sources.positions import PLACE, choose, file_backed, located
 
 ROWS = 3  # MinHash values in a half key
 MISS = 4e-4
@@ -380,17 +381,20 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each linked group, of the document with the smallest doc_id."""
+    """``docs`` with one row of each linked group, of the document with the smallest doc_id.
+
+    Rows are chosen by their places in the files they come from, so texts are not shuffled for it.
+    """
+    docs = file_backed(docs)
     if not _repeats(docs):
         gone = _link(docs, k, percent).where("not kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.withColumn("_text_id", _text_id())
+        return choose(docs, located(docs).select("doc_id", *PLACE).join(gone, "doc_id", "left_anti"))
+    content = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    rows = located(docs).select(_text_id().alias("doc"), content.alias("content"), *PLACE)
     marks = stash(_link(docs.select(_text_id().alias("doc_id"), "text"), k, percent).where(
         "doc_id is not null and n_shingles > 0").select(
-        F.col("doc_id").alias("_text_id"), "kept").distinct(), "marks")
-    order = Window.partitionBy("_text_id").orderBy(F.xxhash64(*[
-        f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
-    one = rows.join(marks.where("kept"), "_text_id", "left_semi").withColumn(
-        "_row", F.row_number().over(order)).where("_row = 1")
-    return rows.join(marks, "_text_id", "left_anti").select(*docs.columns).unionByName(
-        one.select(*docs.columns))
+        F.col("doc_id").alias("doc"), "kept").distinct(), "marks")
+    order = Window.partitionBy("doc").orderBy("content", *PLACE)
+    one = rows.join(marks.where("kept"), "doc", "left_semi").withColumn(
+        "place", F.row_number().over(order)).where("place = 1").drop("place")
+    return choose(docs, rows.join(marks, "doc", "left_anti").unionByName(one))

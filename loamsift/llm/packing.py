@@ -30,86 +30,138 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamsift.llm.common import arrow_map, process_cache, ranges, text_bytes
+from loamsift.llm.common import arrow_map, chunks, process_cache, ranges, text_bytes
 from loamsift.session import stash
 
 BINS = 64
 SALT_ROWS = 20_000  # pieces of one length and salt, about
 CACHED_WORDS = 1_000_000
-_TAIL = b".,;:!?$%&*#|-"
+CHUNK = 6 << 20  # bytes of text split together; longer texts go alone
+JOINED = 4_096  # words of letters encoded as one text
+_TAIL = ".,;:!?$%&*#|-"
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+# How a tokenizer file says that words can be encoded one by one
+WORD_WISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+            "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class WordTokenizer:
-    """Token ids by white-space separated words; ids of words seen before are kept.
+    """Token ids of texts by their white-space separated words; ids of words seen are kept.
 
-    The tokenizer splits at white space and encodes what is between on its own, so ids of a text are
-    those of its words one after the other. It also splits between letters and other signs,
-    unless an apostrophe is there, and ignores case.
+    This holds for tokenizers that split and normalise as ``WORD_WISE`` says: white space is
+    dropped, what lies between is encoded on its own, and a run of letters is one unit whose last
+    token, and no other, carries the end-of-word mark. Others encode whole texts.
     """
 
     def __init__(self, path: str):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.word_wise = all(config[k] == v for k, v in WORD_WISE.items()) and config["model"].get(
+            "end_of_word_suffix") == "</w>" and not any(
+            t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]]
+            for t in config["added_tokens"])
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words],
-                                                 add_special_tokens=False)
-        return [e.ids for e in found]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+    def _add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.index)
         self.index.update(zip(words, range(n, n + len(words))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(ids)
+
+    def _add_encoded(self, words: list[str]) -> None:
+        found = self._encode(words)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(words, size, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())))
+
+    def _add_letters(self, words: list[str]) -> None:
+        """Words of letters only, many in one text: the marks tell where each ends."""
+        for lo in range(0, len(words), JOINED):
+            part = words[lo:lo + JOINED]
+            ids = np.array(self._encode([" ".join(part)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # a letter to one Unicode table and none to another
+                self._add_encoded(part)
+            else:
+                self._add(part, np.diff(ends, prepend=0), ids)
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Add words; letters with trailing signs are put together of their two parts."""
-        whole, joined, bodies, tails = set(), [], [], []
+        whole, letters, tails, joined = [], set(), set(), []
         for w in words:
             body = w.rstrip(_TAIL)
-            if len(body) < len(w) and body.decode().lower().isalpha():
-                joined.append(w)
-                bodies.append(body)
-                tails.append(w[len(body):])
+            if body.isalpha() and (body.isascii() or body.lower().isalpha()):
+                # case is ignored; only A-Z are sure to be lowered alike
+                low = body.lower() if body.isascii() else body.translate(_LOWER)
+                letters.add(low)
+                if w != low:
+                    tail = w[len(body):]
+                    tails.add(tail)
+                    joined.append((w, low, tail))
             else:
-                whole.add(w)
-        new = list(whole.union(bodies, tails).difference(self.index))
-        found = self._encode(new)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self._add(new, size, np.fromiter(itertools.chain.from_iterable(found), np.uint32,
-                                         int(size.sum())))
+                whole.append(w)
+        known = self.index
+        self._add_letters([w for w in letters if w not in known])
+        rest = {w for w in itertools.chain(whole, tails) if w not in known}
+        self._add_encoded(list(rest))
+        joined = [x for x in joined if x[0] not in known]
         if joined:
-            at = np.stack([np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))
-                           for x in (bodies, tails)], axis=1)
-            self._add(joined, self.size[at].sum(axis=1),
+            at = np.array([(known[low], known[tail]) for _, low, tail in joined], np.int64)
+            self._add([w for w, _, _ in joined], self.size[at].sum(axis=1),
                       self.ids[ranges(self.start[at.ravel()], self.size[at.ravel()])])
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not self.word_wise:
+            for ids in self._encode([t.decode() for t in texts]):
+                yield np.array(ids, np.uint32)
+            return
         if len(self.index) > CACHED_WORDS:
             self._reset()
-        # case is ignored, but A-Z may only be lowered early where no combining mark follows it
-        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.index.get, words)) for words in split]
-        new = {w for words, at in zip(split, found, strict=True) if None in at
-               for w, i in zip(words, at, strict=True) if i is None}
-        if new:
-            self._learn(new)
-        for words, at in zip(split, found, strict=True):
-            if None in at:
-                at = map(self.index.__getitem__, words)
-            at = np.fromiter(at, np.int64, len(words))
-            yield self.ids[ranges(self.start[at], self.size[at])]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.index.get, distinct))
+        if None in found:
+            self._learn([w for w, at in zip(distinct, found, strict=True) if at is None])
+            found = map(self.index.__getitem__, distinct)
+        slot = np.fromiter(found, np.int64, len(distinct))[words.indices.to_numpy()]
+        size = self.size[slot]
+        ids = self.ids[ranges(self.start[slot], size)]
+        # where each text's ids end: at the end of its last word
+        ends = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            yield ids[lo:hi]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int,
@@ -119,10 +171,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int,
         kept = process_cache("word_tokenizer")
         tokens = kept.get(tokenizer) or kept.setdefault(tokenizer, WordTokenizer(tokenizer))
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.slice(lo, 256)
+            texts = text_bytes(b["text"])
+            for lo, hi in chunks(texts, CHUNK):
+                part = b.slice(lo, hi - lo)
                 row, start, length, crc, kept_ids = [], [], [], [], []
-                for i, ids in enumerate(tokens(text_bytes(part["text"]))):
+                for i, ids in enumerate(tokens(texts[lo:hi])):
                     ids = np.append(ids, end_id).astype("<u4")
                     for at in range(0, len(ids), max_len):
                         cut = ids[at:at + max_len]

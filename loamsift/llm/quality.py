@@ -28,6 +28,7 @@ CLASSES = 22
 FEATURES = CLASSES * CLASSES + 4
 HIDDEN, ATTENTION = 32, 16
 PER_CLASS = 2_500  # labelled documents of each class at most
+FIT_PASSAGES = 64  # passages of one document that the fit sees at most, evenly drawn; scores see all
 EPOCHS, BATCH, RATE, DECAY = 12, 100, 0.004, 1e-4
 
 
@@ -116,6 +117,18 @@ def gradients(p: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight:
     return {k: v + DECAY * p[k] if k in ("encode", "u", "v", "out") else v for k, v in g.items()}
 
 
+def _moments(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse spread of all passages, summed bag by bag."""
+    n = sum(len(b) for b in bags)
+    total, square = np.zeros((2, FEATURES))
+    for b in bags:
+        b = b.astype(np.float64)
+        total += b.sum(axis=0)
+        square += (b * b).sum(axis=0)
+    mean = total / n
+    return mean, 1 / (np.sqrt(np.maximum(square / n - mean * mean, 0)) + 0.02)
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> dict:
     """Encoder, gated attention and scorer, fitted together by Adam."""
     rng = np.random.default_rng(4)
@@ -128,19 +141,23 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int
          "out": rng.normal(0, 0.2, HIDDEN) if known else np.zeros(HIDDEN),
          "bias": np.array(np.log(share / (1 - share)) if known else (60.0 if share else -60.0))}
     if known:
-        rows = np.concatenate(bags)
-        p["mean"], p["scale"] = rows.mean(axis=0), 1 / (rows.std(axis=0) + 0.02)
+        p["mean"], p["scale"] = _moments(bags)
         weight = weight / weight.mean()
         step = Adam(RATE)
         for epoch in range(epochs):
             step.rate = RATE * (1 - epoch / epochs)
             for part in np.array_split(rng.permutation(len(y)), max(1, -(-len(y) // BATCH))):
-                own = [bags[i] for i in part]
+                own = [bags[i].astype(np.float32) for i in part]
                 first = np.concatenate([[0], np.cumsum([len(b) for b in own])])
                 step(p, gradients(p, np.concatenate(own), first, y[part], weight[part]))
     return {k: np.asarray(v, np.float32) for k, v in p.items()}
 
 
+def _drawn(n: int) -> np.ndarray:
+    """Places of the passages that the fit sees of a document of ``n``."""
+    return np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(int))
+
+
 def fit(docs: DataFrame, labels: DataFrame, for_training: Column,
         per_class: int = PER_CLASS) -> dict:
     rows = training_rows(docs, labels, "quality", for_training, per_class)
@@ -150,14 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, for_training: Column,
             texts, encoded = text_bytes(b["text"]), []
             for lo, hi in chunks(texts):
                 x, first = passages(texts[lo:hi])
-                encoded += [x[i:j].astype(np.float16).tobytes()
+                encoded += [x[i:j][_drawn(j - i)].astype(np.float16).tobytes()
                             for i, j in zip(first[:-1], first[1:])]
             yield {"doc_id": b["doc_id"].cast(pa.string()), "y": b["y"], "weight": b["weight"],
                    "x": pa.array(encoded, pa.binary())}
     got = arrow_map(rows, run, "doc_id string, y int, weight double, x binary").toArrow().sort_by(
         "doc_id")
-    bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32)
-            for x in got["x"].to_pylist()]
+    # views of the Arrow buffers; a batch is widened when it is its turn
+    bags = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, FEATURES) for x in got["x"]]
     return train(bags, got["y"].to_numpy(), got["weight"].to_numpy())
 
 

@@ -39,13 +39,30 @@ def test_ids_equal_whole_text_encoding():
     from tokenizers import Tokenizer
     whole, words = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path())
     rng = random.Random(3)
-    parts = ["a", "B", "H̱", "é", "É", "Å", "'s", "'LL", "!", "***", ".", ",", "<|endoftext|>", "1", "ß",
+    parts = ["a", "B", "H̱", "é", "É", "Å", "'s", "'LL", "!", "***", ".", ",", "<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "1",
+             "\u212a", "\u1100\u1161", "A\u030a", "\u2003", "The", "THE", "the", "The,", "ß",
              "ΣΑΣ", "İ", " ", " ", "　", "\x1c", "\n", "\t", "漢字", "😀", "don't", "#tag", "Word.", "É!", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     got = [x.tolist() for lo in range(0, 3000, 300) for x in words([t.encode() for t in texts[lo:lo + 300]])]
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+    from tokenizers import Tokenizer
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        config = json.load(f)
+    config["normalizer"]["normalizers"].pop()  # case counts now
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(config, f)
+    tokens = packing.WordTokenizer(path)
+    texts = ["The the THE, ΣΑΣ", "", "a  b\n<|endoftext|>"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert not tokens.word_wise and [x.tolist() for x in tokens([t.encode() for t in texts])] == want
+    assert packing.WordTokenizer(tokenizer_path()).word_wise
+
+
 @pytest.mark.parametrize("n,max_len", [(1, 4096), (500, 4096), (40_000, 4096), (300, 100)])
 def test_plan_is_valid_and_tight(n, max_len):
     lengths = np.clip(np.random.default_rng(n).lognormal(math.log(max_len / 5), 1, n).astype(int), 1, max_len)

@@ -277,3 +277,71 @@ def test_contained_odd_rows(spark, odd_docs, no_docs):
     none = items.where("false")
     assert contain.drop_contaminated(odd_docs, none).count() == odd_docs.count()
     assert contain.find_items(no_docs, items).count() == 0 and contain.find_items(odd_docs, none).count() == 0
+
+
+def test_names_of_users_stay(spark, odd_docs):
+    """Columns that carry inner names come back as they were."""
+    for out in (lines.without_lines(odd_docs), neardup.keep_one(odd_docs),
+                contain.drop_contaminated(odd_docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))):
+        assert out.columns == odd_docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in odd_docs.columns[5:])
+
+
+def test_texts_of_one_item_count_once(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three four five six"), (7, "five six seven eight nine ten"),
+                                   (8, "one two three four five six")], "item_id long, text string")
+    got = {tuple(r) for r in contain.find_items(docs, items, threshold=0.5).collect()}
+    assert got == {(1, 7, 4, 4, 1.0), (1, 8, 2, 2, 1.0)}
+
+
+def test_scattered_pieces_of_items_are_found(spark):
+    """Sixty items, each cut into five pieces of twelve words, spread over documents of 10,000 words."""
+    import random
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    items, docs = [], []
+    for i in range(60):
+        parts = [[word() for _ in range(12)] for _ in range(5)]
+        items.append((i, " ".join(w for p in parts for w in p)))
+        text = []
+        for p in parts:
+            text += [word() for _ in range(2000)] + p
+        docs.append((i, " ".join(text)))
+    got = contain.find_items(spark.createDataFrame(docs, "doc_id long, text string"),
+                             spark.createDataFrame(items, "item_id long, text string"), threshold=0.7).collect()
+    found = {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]}
+    assert len(found) >= 0.95 * 60 and all(r["doc_id"] == r["item_id"] for r in got)
+
+
+def test_workers_need_no_import_path(tmp_path):
+    """The driver runs in another folder and the workers have no path to the package."""
+    import os
+    import subprocess
+    import sys
+    code = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from loamsift.session import build
+from loamsift.llm import contain, hardneg, lines, neardup, urlglob, whitening
+from pyspark.sql import functions as F
+spark = build("local[2]", "path", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+docs = spark.createDataFrame([(i, "a b c d e f g h " * (i + 1)) for i in range(9)], "doc_id long, text string")
+items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+assert contain.find_items(docs, items).count() > 0
+assert contain.drop_contaminated(docs, items).count() < 9
+assert lines.without_lines(docs).count() == 9 and neardup.keep_one(docs).count() < 9
+v = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)], i % 2) for i in range(60)],
+                          "vec_id long, embedding array<float>, label int")
+assert whitening.whiten(v, 2).count() == 120 and hardneg.mine(v, F.col("vec_id") % 50 == 0).count() >= 0
+urls = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+assert urlglob.judge(urls, [urlglob.Rule("*.com/**", "block")]).first()["verdict"] == "block"
+from loamsift.sources import readers, writers
+writers.write_csv(docs, "{tmp_path}/c")
+assert readers.read_csv(spark, "{tmp_path}/c", split=True).count() == 9
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -20,6 +22,8 @@ from loamsift.functions.text import strip
 from loamsift.operators.gates import guard_record
 from loamsift.operators.summary import class_weights
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no import path
+
 # A scorer maps a batch of model inputs to logits, one row per input.
 Scorer = Callable[[pd.Series], np.ndarray]
 
@@ -31,24 +35,65 @@ def pair_text(title: str = "title", body: str = "body") -> Column:
 
 
 def with_logits(df: DataFrame, model_input: Column, load: Callable[[], Scorer],
-                n_labels: int) -> DataFrame:
+                n_labels: int, budget: int | None = None,
+                tokens: Callable[[pd.Series], np.ndarray] | None = None) -> DataFrame:
     """Add ``logits`` by a Python model, loaded once per worker.
 
     Only the model input travels to Python, in Arrow batches; the other columns
     stay in the JVM. A model with another number of labels is refused.
+
+    A model that pads its inputs to the longest of a batch works on what it pads too. With a
+    ``budget`` the rows of an Arrow batch go to the model in order of length (``tokens``), cut so
+    that rows times the longest stay within the budget (a longer row goes alone), and the logits
+    return to their rows.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for batch in batches:
+
+        def scored(batch: pd.Series) -> np.ndarray:
             out = np.asarray(model(batch), dtype="float64").reshape(len(batch), -1)
             if len(batch) and out.shape[1] != n_labels:
                 raise ValueError(f"model gives {out.shape[1]} scores for {n_labels} labels")
-            yield pd.Series(list(out))
+            return out
+        for batch in batches:
+            if budget is None:
+                yield pd.Series(list(scored(batch)))
+                continue
+            logits = np.empty((len(batch), n_labels))
+            for rows in cuts(np.asarray(tokens(batch)), budget):
+                logits[rows] = scored(batch.iloc[rows])
+            yield pd.Series(list(logits))
+    cuts = token_batches
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(run, T.ArrayType(T.DoubleType()))
     return df.withColumn("logits", udf(model_input))
 
 
+def token_batches(lengths: np.ndarray, budget: int, by_length: bool = True) -> list[np.ndarray]:
+    """Row numbers of batches whose rows times longest length stay within ``budget``."""
+    order = np.argsort(lengths, kind="stable") if by_length else np.arange(len(lengths))
+    out, lo, longest = [], 0, 0
+    for i, row in enumerate(order):
+        longest = max(longest, int(lengths[row]))
+        if i > lo and longest * (i - lo + 1) > budget:
+            out.append(order[lo:i])
+            lo, longest = i, int(lengths[row])
+    return [*out, order[lo:]] if len(order) else out
+
+
+def padded_tokens(lengths: np.ndarray, batches: list[np.ndarray]) -> int:
+    """Tokens a model works on when each batch is padded to its longest row."""
+    return sum(len(rows) * int(lengths[rows].max(initial=0)) for rows in batches)
+
+
+def word_tokens(most: int) -> Callable[[pd.Series], np.ndarray]:
+    """White-space words of a text, at least one and at most ``most``, as a token count."""
+    def count(texts: pd.Series) -> np.ndarray:
+        words = texts.fillna("").str.split().str.len().to_numpy()
+        return np.clip(words, 1, most)
+    return count
+
+
 def decode(df: DataFrame, probabilities: Column, labels: tuple[str, ...]) -> DataFrame:
     """Add predicted_label, confidence, confidences and color from probabilities."""
     with_p = df.withColumn("_p", probabilities)

@@ -46,18 +46,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def _app_folder(spark: SparkSession) -> str:
+def app_folder(spark: SparkSession) -> str:
+    """This application's part of the scratch folder."""
     return f"{scratch_root(spark)}/loamsift/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in this application's part of the scratch folder."""
-    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{app_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> bool:
     """Delete what this application wrote to the scratch folder; call it when done."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -367,9 +367,19 @@ def _(spark, d):
     return tickets(spark, d).select("id", "size").orderBy(F.desc("size"), "id")
 
 
-@query("O02_shuffle", f"{_I} SELECT row_id, title FROM issues")
-def _(spark, d):
-    return ranking.shuffled(issues(spark, d).select("row_id", "title"), fixed.SHUFFLE_SEED)
+@query("O02_shuffle", f"""{_I}, n AS (SELECT count(*) AS n FROM issues)
+SELECT row_id, title, true AS hash_order, n > 1 AS moved FROM issues, n""")
+def _(spark, d):
+    """The stored order is that of the seeded hash, and most rows have left their places."""
+    out = ranking.shuffled(issues(spark, d).select("row_id", "title"), fixed.SHUFFLE_SEED)
+    # positions in the order in which tasks write: ranges first, then rows inside each
+    stored = stash(out.withColumn("at", F.monotonically_increasing_id()), "shuffled")
+    placed = ranking.dense_index(stored, "at", "place").withColumn(
+        "hashed", F.xxhash64("row_id", F.lit(fixed.SHUFFLE_SEED)))
+    placed = ranking.dense_index(ranking.dense_index(placed, "hashed", "hash_place"), "row_id", "old_place")
+    stay, n = placed.agg(F.count_if(F.col("place") == F.col("old_place")), F.count("*")).first()
+    return placed.select("row_id", "title", (F.col("place") == F.col("hash_place")).alias("hash_order"),
+                         F.lit(2 * stay < n).alias("moved"))
 
 
 @query("O03_dense_index", f"""{_T} SELECT id, row_number() OVER (ORDER BY id) - 1 AS index

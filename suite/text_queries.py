@@ -141,17 +141,17 @@ def _(spark, d):
     return gates.valid_upload_rows(up)
 
 
-@query("P18_batch_guard", f"""{_I} SELECT 'within' AS case, count(*) AS n FROM issues
-WHERE id < 100 UNION ALL SELECT 'above', 0 FROM issues HAVING count(*) > 100
-UNION ALL SELECT 'empty', 0""")
+@query("P18_batch_guard", f"""{_I}, u AS (SELECT count(*) AS n FROM issues
+WHERE {duck.strip('title')} <> '') SELECT 'within' AS case, n FROM u
+UNION ALL SELECT 'above', 0 FROM u WHERE n > 0 UNION ALL SELECT 'empty', 0""")
 def _(spark, d):
-    """A batch within the limit passes whole; one above it and an empty one are refused."""
+    """All rows pass a limit of their number; a limit one below and an empty batch are refused."""
     rows = gates.valid_upload_rows(issues(spark, d))
-    out = gates.guard_batch(rows.where("id < 100"), 100).agg(F.count("*").alias("n")).select(
-        F.lit("within").alias("case"), "n")
-    for case, batch in (("above", rows), ("empty", rows.where("id < 0"))):
+    n = rows.count()
+    out = gates.guard_batch(rows, n).agg(F.count("*").alias("n")).select(F.lit("within").alias("case"), "n")
+    for case, batch, limit in (("above", rows, n - 1), ("empty", rows.where("false"), n)):
         try:
-            gates.guard_batch(batch, 100)
+            gates.guard_batch(batch, limit)
         except ValueError:
             out = out.unionByName(spark.range(1).select(
                 F.lit(case).alias("case"), F.lit(0).cast("long").alias("n")))

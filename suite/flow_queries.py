@@ -542,7 +542,7 @@ def _(spark, d):
 
 
 # Documents by language: a text model can learn it, unlike the labels of the issue view.
-_LANGUAGES = {"en": "bug", "de": "documentation", "fr": "enhancement", "es": "performance"}
+_LANGUAGES = {"en": "bug", "de": "documentation", "fr": "enhancement", "es": "question"}
 _TAUGHT = f"""{_I}, tr AS (SELECT row_id, title, CASE d.lang {" ".join(
     f"WHEN {duck.q(k)} THEN {duck.q(v)}" for k, v in _LANGUAGES.items())} ELSE 'question' END AS label
   FROM issues JOIN documents d ON d.doc_id = row_id)"""

@@ -192,3 +192,9 @@ def newest_days(spark: SparkSession, path: str, n: int) -> list[str]:
 def read_newest(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Whole newest days of the log that hold ``n`` rows: what a view of the last rows needs."""
     return read_log(spark, path, newest_days(spark, path, n)).drop("day")
+
+
+def read_log_sums(spark: SparkSession, path: str) -> DataFrame:
+    """label, source, n, summed, total of the whole log, from the sums of its commits."""
+    return CommittedTable(spark, path).read("sums", schemas.LOG_SUMS).groupBy("label", "source").agg(
+        *[F.sum(c).alias(c) for c in ("n", "summed", "total")])

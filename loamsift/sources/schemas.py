@@ -19,3 +19,4 @@ MODEL_RESULTS = (
 SEEN = "id long"
 DONE = "label string, repo string"
 SCORE_LOG = "ts timestamp, label string, confidence double, source string, user string"
+LOG_SUMS = "label string, source string, n long, summed long, total decimal(38,6)"

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamsift.session import stash
 from loamsift.sources.committed import CommittedTable, Part
 
 CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true", "emptyValue": "",
@@ -53,11 +54,15 @@ def write_batch(scored: DataFrame, path: str, batch_id: str) -> None:
 
 
 def append_log(entries: DataFrame, path: str, token: str | None = None, replace: bool = False) -> bool:
-    """Add score-log rows, one folder per day, as one commit.
+    """Add score-log rows, one folder per day, and their sums by label and source, as one commit.
 
     A repeated call with the ``token`` of an earlier one adds nothing and returns False; with
     ``replace`` its rows take the place of the earlier ones.
     """
-    rows = entries.select("ts", "label", "confidence", "source", "user").withColumn("day", F.to_date("ts"))
+    rows = stash(entries.select("ts", "label", "confidence", "source", "user"), "log_rows")
+    sums = rows.groupBy("label", "source").agg(
+        F.count("*").alias("n"), F.count("confidence").alias("summed"),
+        F.sum(F.col("confidence").cast("decimal(18,6)")).cast("decimal(38,6)").alias("total"))
     return CommittedTable(entries.sparkSession, path).commit(
-        token or uuid.uuid4().hex, replace, log=Part(rows, "day"))
+        token or uuid.uuid4().hex, replace, log=Part(rows.withColumn("day", F.to_date("ts")), "day"),
+        sums=sums.coalesce(1))  # a row for each label and source

@@ -811,3 +811,18 @@ def _(spark, d):
 {duck.mean1('value')} AS avg_confidence FROM events GROUP BY 1""")
 def _(spark, d):
     return scoreplan.analytics(score_log(spark, d))["labels"]
+
+
+@query("analytics_of_stored_log", f"""SELECT event_type AS label, count(*) AS n,
+{duck.mean1('value')} AS avg_confidence, (SELECT count(*) FILTER (user_id % 2 = 0) FROM events) AS single_count,
+(SELECT count(*) FILTER (user_id % 2 <> 0) FROM events) AS batch_count FROM events GROUP BY 1""")
+def _(spark, d):
+    """A log of several commits, one of them repeated: its view is added up from the commits' sums."""
+    path = scratch_path(spark, "log")
+    log = score_log(spark, d)
+    for part in range(3):
+        writers.append_log(log.where(F.pmod("event_id", F.lit(3)) == part), path, f"part{part}")
+    writers.append_log(log, path, "part1")
+    tables = scoreplan.analytics_of_log(spark, path)
+    counts = tables["sources"].first()
+    return tables["labels"].withColumns({c: F.lit(counts[c]) for c in ("single_count", "batch_count")})

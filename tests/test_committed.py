@@ -140,3 +140,21 @@ def test_replaced_commit(spark, tmp_path):
     assert writers.append_log(rows.limit(0), path, "a", replace=True)
     assert readers.read_log(spark, path).count() == 0
     assert os.path.isdir(f"{path}/_lists") and committed.ALL == "*"
+
+
+def test_log_view_from_sums_equals_the_scan(spark, tmp_path):
+    from loamsift.plans import score as scoreplan
+    path = f"{tmp_path}/log"
+    rows = log_rows(spark, 9, 60).withColumn("label", F.concat(F.lit("l"), F.col("confidence").cast("int"))).withColumn(
+        "source", F.when(F.col("user") == "u1", "batch").otherwise("single")).withColumn(
+        "confidence", F.when(F.col("user") == "u2", None).otherwise(F.col("confidence")))
+    for i in range(3):
+        writers.append_log(rows.where(F.pmod(F.unix_timestamp("ts"), F.lit(3)) == i), path, f"c{i}")
+    writers.append_log(rows.limit(5), path, "c1")  # a repeat
+    got, want = scoreplan.analytics_of_log(spark, path), scoreplan.analytics(rows)
+    for name in ("labels", "sources", "timeline"):
+        assert sorted(map(tuple, got[name].collect()), key=repr) == sorted(map(tuple, want[name].collect()), key=repr)
+    opened = {f.split("/")[-2].split("=")[0] for f in got["labels"].inputFiles()}
+    assert opened == {"commit"}  # sums only, no folder of a day
+    empty = scoreplan.analytics_of_log(spark, f"{tmp_path}/none")
+    assert empty["labels"].count() == 0 and tuple(empty["sources"].first()) == (0, 0, 0)

@@ -1,8 +1,11 @@
-"""Building blocks of the SQL twins, in RE2's spelling and written independently."""
+"""Building blocks of the SQL twins; patterns are those of ``fixed`` in RE2's spelling."""
 
 from __future__ import annotations
 
+import re
+
 from loamsift import fixed
+from loamsift.functions import cleaning
 
 
 def q(text: str) -> str:
@@ -42,54 +45,31 @@ def mean1(expr: str) -> str:
             f"/ count(*), 9), 1)")
 
 
-# The cleaning patterns in RE2's spelling, step by step.
-TAG, ENTITY = r"<[^>]{1,300}>", r"&[a-zA-Z]{2,8};|&#?\w{1,8};"
-IMAGE, LINK = r"!\[[^\]]*\]\([^\)]*\)", r"\[([^\]]+)\]\([^\)]+\)"
-BOLD, URL = r"\*{1,3}([^*\n]{1,200}?)\*{1,3}", r"https?://\S+|www\.\S+"
-BLOCK_END = r"(?:[^\n]|\n[^\n])*"
-HOLDERS = (r"(?i)\[\s*(?:CODE|INLINE_CODE|CODE_BLOCK|URL|VERSION|FILEPATH|HASH|STACKTRACE"
-           r"|INLINE CODE|CODE BLOCK)\s*\]")
-
-TITLE_V3 = [
-    (r"\r\n|\r", " "), (TAG, " "), (ENTITY, " "), (IMAGE, " "), (URL, " "), (r"#\d+", " "),
-    (r"^\s*\[[^\]]{1,25}\]\s*", ""), (r"^\s*\([^\)]{1,20}\)\s*", ""),
-    (r"([!?.,-]){3,}", r"\1"), (r"[ \t]+", " "),
-]
-TITLE_FINAL = [
-    (r"\r\n|\r", " "), (HOLDERS, " "), (TAG, " "), (ENTITY, " "), (URL, " "), (r"#\d+", " "),
-    (r"[-=*_~`]{4,}", " "), (r"^\s*[\[\(][^\]\)]{1,20}[\]\)]\s*[:\-]?\s*", ""),
-    (r"\[[^\]]{1,25}\]", " "), (r"`[^`\n]{1,300}`", " "), (r"[ \t]+", " "),
-]
-BODY_V3 = [
-    (r"\r\n|\r", "\n"), (r"<!--[\s\S]*?-->", " "), (r"(?m)^[-*]\s*\[[ xX]\][^\n]*$", " "),
-    (IMAGE, " "), (r"(?m)^[-*_]{3,}\s*$", " "), (r"(?m)^\|[^\n]*\|[^\n]*$", " "),
-    (r"(?m)^\s*>\s+", " "),
-    (r"Traceback \(most recent call last\)" + BLOCK_END + r"|Exception in thread" + BLOCK_END
-     + r"|(?:\s+at [\w\.$<>]+\([\w\.]+:\d+\)\n){3,}", " [STACKTRACE] "),
-    (r"```[\s\S]*?```", " [CODE] "), (r"`[^`\n]{1,300}`", " [CODE] "), (URL, " [URL] "),
-    (r"\bv?\d+\.\d+[\.\d\-\w]*\b", " [VERSION] "),
-    (r"(?:/[\w.\-]+){2,}|[\w\-]+\.(js|ts|py|java|go|rb|rs|cpp|c|h|jsx|tsx|vue|css|html|json"
-     r"|yaml|yml|xml|md|sh|swift|kt|dart)\b", " [FILEPATH] "),
-    (r"\b[0-9a-f]{7,40}\b", " "), (r"#\d+", " "), (TAG, " "), (ENTITY, " "),
-    (r"(?im)^#{1,4}\s*(version|reproduction\s*link?|steps\s+to\s+reproduce"
-     r"|minimal\s+repro(?:duction)?|what\s+is\s+expected|what\s+is\s+actually|expected\s+behav"
-     r"|actual\s+behav|environment|platform|system\s+info|additional\s+context"
-     r"|describe\s+the\s+bug|to\s+reproduce)[^\n]*", " "),
-    (LINK, r"\1"), (BOLD, r"\1"), (r"~~([^~\n]+)~~", r"\1"), (r"(?m)^#{1,6}\s+", " "),
-    (r"(?m)^\s*[-*+]\s+", " "), (r"(?m)^\s*\d+\.\s+", " "), (r"([!?.,-]){3,}", r"\1"),
-    (r"[ \t]+", " "), (r"\n{3,}", "\n"),
-]
-BODY_FINAL = [
-    (r"\r\n|\r", "\n"), (HOLDERS, " "), (r"<!--[\s\S]*?-->", " "), (r"```[\s\S]*?```", " "),
-    (r"`[^`\n]{1,300}`", " "),
-    (r"Traceback \(most recent call last\)" + BLOCK_END
-     + r"|\s+at [\w\.$<>]+\([\w\.]+:\d+\)|Exception in thread" + BLOCK_END, " "),
-    (r"(?m)^\[?\d{4}[-/]\d{2}[-/]\d{2}[T\s]\d{2}:\d{2}[^\n]*$", " "), (TAG, " "), (ENTITY, " "),
-    (IMAGE, " "), (r"(?m)^\|[^\n]*\|[^\n]*$", " "), (r"(?m)^[-*_]{3,}\s*$", " "),
-    (LINK, r"\1"), (BOLD, r"\1"), (r"(?m)^#{1,6}\s+", "\n"), (r"(?m)^\s*[-*+]\s+", " "),
-    (URL, " "), (r"\b[0-9a-f]{8,40}\b", " "), (r"#\d+", " "), (r"([!?.]){3,}", r"\1"),
-    (r"[-=*_~`]{4,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n"),
-]
+BLOCK_END = r"(?:[^\n]|\n[^\n])*"  # up to an empty line or the end; RE2 has no look-ahead
+
+
+def re2(pattern: str) -> str:
+    """A pattern of ``fixed`` in RE2's spelling.
+
+    What keeps Java fast and changes no match goes: possessive repeats, hints by look-ahead and
+    starts inside a refused run. Look-arounds at words become word boundaries.
+    """
+    pattern = pattern.replace(r"(?s:.)*?(?=\n\n|\z)", BLOCK_END).replace("(?s:.)", r"[\s\S]")
+    pattern = re.sub(r"\(\?:\\G\|\(\?<!(?:\[[^\]]*\]|[^)\[])*\)\)", "", pattern)
+    pattern = re.sub(r"\(\?=\[[^\]]*\](?:\{\d+\})?\)|\(\?!\[!-~\]\)", "", pattern)
+    pattern = pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
+    pattern = re.sub(r"(?<=[+}])\+", "", pattern)
+    return re.sub(r"\(\?([a-z]+)\)", lambda m: "(?" + "".join(c for c in m[1] if c in "im") + ")", pattern)
+
+
+def steps(cleaner: cleaning.Cleaner) -> list[tuple[str, str]]:
+    return [(re2(r.pattern), r.replacement.replace("$1", r"\1")) for r in cleaner.rules]
+
+
+TAG, ENTITY, URL = re2(fixed.HTML_TAG), re2(fixed.HTML_ENTITY), re2(fixed.URL)
+TITLE_V3, TITLE_FINAL = steps(cleaning.TITLE_V3), steps(cleaning.TITLE_FINAL)
+BODY_V3, BODY_FINAL = steps(cleaning.BODY_V3), steps(cleaning.BODY_FINAL)
+BOT_LOGIN, BOT_MENTION, SPAM = re2(fixed.BOT_LOGIN), re2(fixed.BOT_MENTION), re2(fixed.API_SPAM)
 
 
 def cleaned(version: str, source: str = "issues") -> str:
@@ -126,14 +106,6 @@ def english(title: str, body: str, version: str) -> str:
             f"{blocks} WHEN {foreign} THEN false {last} ELSE true END)")
 
 
-BOT_LOGIN = (r"(?i)dependabot|renovate\[bot\]|greenkeeper|snyk-bot|allcontributors|github-actions"
-             r"|imgbot|stale\[bot\]|codecov|mergify|restyled-io|lgtm-com|sonarcloud|whitesource"
-             r"|deepsource|semantic-release-bot")
-BOT_MENTION = (r"(?i)dependabot|renovate\[bot\]|greenkeeper|snyk-bot|github-actions\[bot\]|imgbot"
-               r"|stale\[bot\]|codecov")
-SPAM = r"(?i)##\s*api\s*(submission|information)|\*\*api\s*(name|url)\*\*|api\s+url\s*:"
-
-
 def template(body: str) -> str:
     hits = " OR ".join(f"contains(lower({body}), {q(p)})" for p in fixed.TEMPLATE_PHRASES)
     return f"({wc(body)} < 80 AND ({hits}))"

@@ -80,6 +80,20 @@ class SeenStore:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], self.ids_schema) if out is None else out
 
+    def unseen(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose id is not stored; only folders that may hold one are opened."""
+        ids = stash(df.select(self.id_col).distinct().withColumn("bucket", self._bucket()), "asked")
+        return self._without(df, self.opened(stash(self.suspects(ids), "suspects")))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.id_col), F.lit(self.buckets)).cast("int")
+
+    def _without(self, df: DataFrame, opened: Sequence[tuple[str, int]]) -> DataFrame:
+        if not opened:
+            return df
+        old = self.earlier(opened).select(F.col(self.id_col).alias("_id"))
+        return df.join(old, F.col(self.id_col).eqNullSafe(F.col("_id")), "left_anti")
+
     # --- writing ---
     def add(self, df: DataFrame, order: Sequence[str | Column], token: str) -> list[tuple[str, int]] | None:
         """Keep the first row of every id that is new; None when ``token`` is committed already.
@@ -88,15 +102,9 @@ class SeenStore:
         """
         if token in self.table.listing().tokens:
             return None
-        bucket = F.pmod(F.xxhash64(self.id_col), F.lit(self.buckets)).cast("int")
-        first = stash(first_per_key(df, [self.id_col], order).withColumn("bucket", bucket), "first")
-        suspects = stash(self.suspects(first.select(self.id_col, "bucket")), "suspects")
-        opened = self.opened(suspects)
-        fresh = first
-        if opened:
-            old = self.earlier(opened).select(F.col(self.id_col).alias("_id"))
-            fresh = stash(first.join(old, F.col(self.id_col).eqNullSafe(F.col("_id")), "left_anti"), "fresh")
-        self._commit(token, fresh)
+        first = stash(first_per_key(df, [self.id_col], order).withColumn("bucket", self._bucket()), "first")
+        opened = self.opened(stash(self.suspects(first.select(self.id_col, "bucket")), "suspects"))
+        self._commit(token, stash(self._without(first, opened), "fresh") if opened else first)
         self._merge_full_levels()
         return opened
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from loamsift import fixed
 from loamsift.functions import scores, text
 from loamsift.operators import discovery, gates, ranking, summary
-from loamsift.session import stash
+from loamsift.session import scratch_path, stash
+from loamsift.sources.seen import SeenStore
 from suite import duck, views
 from suite.registry import query
 from suite.views import cte, issues, repo_dim, repos, score_log, tickets
@@ -83,6 +84,18 @@ def _(spark, d):
     return discovery.not_seen(tickets(spark, d), views.seen_ids(spark, d)).select("id", "repo")
 
 
+@query("J04_skip_seen_stored", f"""{cte(tickets=views.TICKETS, seen=views.SEEN)}
+SELECT id, repo FROM tickets WHERE id NOT IN (SELECT id FROM seen)""")
+def _(spark, d):
+    """The seen ids stored by several runs behind filters; only folders with possible hits are read."""
+    store = SeenStore(spark, scratch_path(spark, "seen"), "id", "long", buckets=16)
+    seen = views.seen_ids(spark, d)
+    for run in range(3):  # each run knows a part again
+        store.add(seen.where(F.pmod("id", F.lit(4)) >= run), ["id"], f"run{run}")
+    store.add(seen, ["id"], "last")
+    return store.unseen(tickets(spark, d).select("id", "repo"))
+
+
 @query("J05_skip_done", f"""{cte(tickets=views.TICKETS, done=views.DONE)}
 SELECT id, t.label, t.repo FROM tickets t
 ANTI JOIN done d ON d.label = t.label AND d.repo = t.repo""")

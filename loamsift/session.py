@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +75,12 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file cannot be read by more tasks than it has row groups, and cleaning costs far more than a
     shuffle. Inputs with twice as many splits as the cluster has cores are left alone unseen; of
-    others the filled splits are counted, from the files' footers.
+    others the filled splits are counted, from the files' footers. What is no scan stays as it is.
     """
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df

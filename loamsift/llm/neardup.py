@@ -45,7 +45,7 @@ from loamsift.sources.positions import PLACE, choose, file_backed, located
 ROWS = 3  # MinHash values in a half key
 MISS = 4e-4
 MEMBERS = 512  # members compared with one copy of a centre's set
-SMALL = 64  # classes in a bucket whose pairs are rows; those of larger ones are met in blocks
+SMALL = 12  # classes in a bucket whose pairs are rows; those of larger ones are met in blocks
 BLOCK = 512  # classes in a block
 BLOCK_SHINGLES = 1 << 19  # shingles in a block, on average, unless one set is larger
 COLUMNS = 4096  # shingles counted at a time when two blocks are compared
@@ -194,11 +194,16 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of classes of different components in open buckets of at most SMALL classes."""
-    few = rows.where(F.col("n") <= SMALL).select("key", "rep", "root")
-    other = few.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    return few.join(other, "key").where((F.col("rep") < F.col("b")) & (
-        F.col("root") != F.col("root_b"))).select(F.col("rep").alias("a"), "b")
+    """Every pair of classes of different components in open buckets of at most SMALL classes.
+
+    Near copies share many tables, so buckets of the same classes are one.
+    """
+    few = rows.where(F.col("n") <= SMALL).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("rep", "root"))).alias("classes")).select("classes").distinct()
+    left = few.select("classes", F.posexplode("classes").alias("at", "x"))
+    pairs = left.select("x", F.explode(F.slice("classes", F.col("at") + 2, F.lit(SMALL))).alias("y"))
+    return pairs.where(F.col("x.root") != F.col("y.root")).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:

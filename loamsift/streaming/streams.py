@@ -26,6 +26,13 @@ def file_stream(spark: SparkSession, folder: str, schema, names: str | None = No
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The files of a Parquet table that is one file or a folder of part files."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    # as a pattern: a plain path of a stream must be a folder
+    return file_stream(spark, f"{folder}/{{{name}}}", schema)
+
+
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None],
          mode: str = "append") -> StreamingQuery:
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

@@ -8,7 +8,8 @@ from loamsift.operators import scoring
 from loamsift.plans import score as scoreplan
 from loamsift.sources import readers
 from loamsift.streaming import streams
-from suite import views
+from suite import flow_queries, views  # noqa: F401
+from suite.registry import QUERIES
 from tests.conftest import SF_DIR
 
 LABELS = fixed.LABELS_MODEL
@@ -162,3 +163,16 @@ def test_upserted_trend_keeps_the_newest_row(spark, tmp_path):
     assert list(got.values()) == [got[h] for h in got] and sorted(got.values()) == [1, 2, 2, 2]
     state = spark.read.parquet(out)
     assert state.count() < 4 * state.select("batch").distinct().count()  # only changed hours are stored
+
+
+def test_streams_read_tables_of_one_file_and_of_part_files(spark, tmp_path):
+    vectors = spark.range(40).selectExpr("id AS vec_id", "cast(id % 10 AS int) AS label",
+                                         "array_repeat(cast(id AS float) / 40, 64) AS embedding")
+    vectors.repartition(3).write.parquet(f"{tmp_path}/parts/embeddings.parquet")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/whole")
+    (one,) = (tmp_path / "whole").glob("part-*")
+    (tmp_path / "file").mkdir()
+    one.rename(tmp_path / "file/embeddings.parquet")
+    got = [sorted(map(tuple, QUERIES["T02_score_stream"](spark, f"{tmp_path}/{d}").collect()))
+           for d in ("parts", "file")]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 40

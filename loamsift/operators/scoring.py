@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +21,7 @@ from loamsift.functions import scores
 from loamsift.functions.text import strip
 from loamsift.operators.gates import guard_record
 from loamsift.operators.summary import class_weights
+from loamsift.session import stash
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no import path
 
@@ -137,35 +138,53 @@ def batch_summary(scored: DataFrame) -> DataFrame:
         scores.round1(F.sum("_sum").over(whole) / total).cast("double").alias("avg_confidence"))
 
 
+TERMS = "_tf"  # hashed word counts of a text
+
+
+def _word_stages(features: int) -> list:
+    return [RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"\s+"),
+            HashingTF(inputCol="_tokens", outputCol=TERMS, numFeatures=features)]
+
+
+def count_terms(df: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """Add the hashed word counts of ``text``.
+
+    Stored, they serve any number of trainings and scorings: no text is split again.
+    """
+    return PipelineModel(_word_stages(features)).transform(df).drop("_tokens")
+
+
 def train_classifier(df: DataFrame, features: int = 1 << 14, max_iter: int = 20) -> PipelineModel:
     """Default scorer: hashed words, inverse document frequency, weighted logistic model.
 
-    ``df`` has ``text`` and ``label``; label ids are the sorted label names. The
-    weights correct for class imbalance instead of repeating rows.
+    ``df`` has ``text`` and ``label``, or ``label`` and the terms that ``count_terms`` gives; label
+    ids are the sorted label names. Texts are split once, into stored terms that every pass of the
+    fit reads. The weights correct for class imbalance instead of repeating rows.
     """
     ids = {name: i for i, name in enumerate(fixed.LABELS_MODEL)}
     known = df.withColumn("label_id", scores.encode_label(F.col("label"), ids).cast("double")
                           ).where(F.col("label_id").isNotNull())
+    if TERMS not in df.columns:
+        known = stash(count_terms(known, features).select("label", "label_id", TERMS), "terms")
     weights = class_weights(known).select("label", "weight")  # one row per known label
     data = known.join(F.broadcast(weights), "label")
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"\s+"),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="label_id", weightCol="weight",
-                           maxIter=max_iter, regParam=0.01, probabilityCol="_probability",
-                           rawPredictionCol="_raw", predictionCol="_prediction"),
-    ]).fit(data)
+    idf = IDF(inputCol=TERMS, outputCol="_features").fit(data)
+    if len(idf.idf) != features:
+        raise ValueError(f"the terms have {len(idf.idf)} features, not {features}")
+    last = LogisticRegression(featuresCol="_features", labelCol="label_id", weightCol="weight",
+                              maxIter=max_iter, regParam=0.01, probabilityCol="_probability",
+                              rawPredictionCol="_raw", predictionCol="_prediction").fit(idf.transform(data))
+    return PipelineModel([*_word_stages(features), idf, last])
 
 
 def score_with_model(df: DataFrame, model: PipelineModel,
                      labels: tuple[str, ...] = fixed.LABELS_MODEL) -> DataFrame:
-    """Score ``text`` inside the JVM and decode."""
+    """Score ``text``, or the terms counted from it, inside the JVM and decode."""
     if model.stages[-1].numClasses != len(labels):
         raise ValueError("model and label config have different numbers of labels")
-    out = model.transform(df)
+    out = (PipelineModel(model.stages[2:]) if TERMS in df.columns else model).transform(df)
     scored = decode(out, vector_to_array("_probability"), labels)
-    return scored.drop("_tokens", "_tf", "_features", "_raw", "_probability", "_prediction")
+    return scored.drop("_tokens", TERMS, "_features", "_raw", "_probability", "_prediction")
 
 
 def score_record(spark: SparkSession, title: str | None, body: str | None,

@@ -12,7 +12,7 @@ from loamsift import fixed
 from loamsift.operators import evaluation, scoring, sketches, summary
 from loamsift.sources import scorers
 from loamsift.streaming import late, streams
-from suite import views
+from suite import flow_queries, views
 from tests.conftest import SF_DIR
 
 LABELS = fixed.LABELS_MODEL
@@ -180,3 +180,40 @@ def test_late_rows_are_kept_and_correct_the_trend(spark, tmp_path):
     again = f"{out}-again"  # a replay of all batches into the same table adds nothing
     late.intake(streams.file_stream(spark, folder, schema), again, ck + "2").awaitTermination()
     assert {tuple(r) for r in late.corrected(spark, again).collect()} == rows
+
+
+def test_a_fit_reads_every_text_once(spark, taught):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        reads.add(1)
+        return text
+    rows = taught.withColumn("text", F.udf(counted)("text"))
+    assert train(rows).stages[-1].numClasses == 5
+    assert reads.value == 200
+    with pytest.raises(ValueError, match="features"):
+        scoring.train_classifier(scoring.count_terms(taught, 1 << 7), features=1 << 8)
+
+
+def _texts(spark, tmp_path):
+    rows = [(i // 2 if i < 6 else None if i == 6 else i, f"text {i}", "de" if i % 2 else None, "s", i)
+            for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_training_rows_of_repeated_and_null_ids_are_those_of_the_join(spark, tmp_path):
+    got = flow_queries._training_rows(spark, _texts(spark, tmp_path)).collect()
+    name = {None: "question", "de": "documentation"}
+    docs = [(r["doc_id"], r["lang"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    want = [(a, name[lang]) for a, _ in docs for b, lang in docs if a is not None and a == b]
+    assert sorted((r["row_id"], r["label"]) for r in got) == sorted(want)
+
+
+def test_training_texts_are_not_shuffled(spark, tmp_path):
+    frame = flow_queries._training_rows(spark, _texts(spark, tmp_path))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan  # the other rows of repeated ids, a stored narrow table
+    physical = frame._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and "hashpartitioning" not in physical

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,16 +18,17 @@ def fold_of(id_col: str, folds: int) -> Column:
 
 def cross_predictions(df: DataFrame, folds: int, train: Callable[[DataFrame], object],
                       score: Callable[[DataFrame, object], DataFrame], id_col: str = "row_id",
-                      path: str | None = None) -> DataFrame:
+                      path: str | None = None, inputs: Sequence[str] = ("text", "label")) -> DataFrame:
     """(id, fold, label, predicted_label, confidence): every row by a model without its fold.
 
-    Rows have ``text`` and ``label``. The predictions are stored, by fold, so reports drawn from
+    Rows have ``label`` and what ``train`` takes, ``inputs``: every fold reads them anew, so stored
+    terms (``scoring.count_terms``) save the work on texts. The predictions are stored, by fold, so reports drawn from
     them agree and a lost fold can be made again alone.
     """
     path = path or scratch_path(df.sparkSession, "predictions")
     held = df.withColumn("fold", fold_of(id_col, folds))
     for f in range(folds):
-        model = train(held.where(F.col("fold") != f).select("text", "label"))
+        model = train(held.where(F.col("fold") != f).select(*inputs))
         part = score(held.where(F.col("fold") == f), model)
         part.select(id_col, "label", "predicted_label", "confidence").write.mode("overwrite").parquet(
             f"{path}/fold={f}")

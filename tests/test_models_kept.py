@@ -195,6 +195,18 @@ def test_a_fit_reads_every_text_once(spark, taught):
         scoring.train_classifier(scoring.count_terms(taught, 1 << 7), features=1 << 8)
 
 
+def test_folds_by_stored_terms_are_those_by_texts(spark, taught, tmp_path):
+    terms = scoring.count_terms(taught, 1 << 8).drop("text")
+
+    def fit(df):
+        return scoring.train_classifier(df, features=1 << 8, max_iter=8)
+    by_text = evaluation.cross_predictions(taught, 3, fit, scoring.score_with_model, path=str(tmp_path / "t"))
+    by_terms = evaluation.cross_predictions(terms, 3, fit, scoring.score_with_model, path=str(tmp_path / "s"),
+                                            inputs=("label", scoring.TERMS))
+    key = ["row_id", "fold", "label", "predicted_label"]
+    assert sorted(by_text.select(key).collect()) == sorted(by_terms.select(key).collect())
+
+
 def _texts(spark, tmp_path):
     rows = [(i // 2 if i < 6 else None if i == 6 else i, f"text {i}", "de" if i % 2 else None, "s", i)
             for i in range(12)]

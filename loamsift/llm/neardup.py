@@ -14,7 +14,7 @@ each component with one of the largest, then every pair of classes of different
 small buckets these are rows of pairs; the classes of larger ones are dealt into blocks, and two
 blocks are compared inside a task, so no row is made for a pair. Every two classes that share a
 bucket are thus compared or already in one component. Components are found by alternating
-large and small stars.
+large and small stars until only stars are left; later links join components already found.
 
 Hot groups: minima and counts are combined before the shuffle, joins are ordinary shuffle
 joins that Spark may split, and the members of one centre are dealt into salts of about
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ SMALL = 12  # classes in a bucket whose pairs are rows; those of larger ones are
 BLOCK = 512  # classes in a block
 BLOCK_SHINGLES = 1 << 19  # shingles in a block, on average, unless one set is larger
 COLUMNS = 4096  # shingles counted at a time when two blocks are compared
+LINKS = 1 << 18  # links in a file between two rounds of stars
 
 
 def half_keys(threshold: float) -> int:
@@ -151,12 +153,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(grouped, run, f"a {kind}, b {kind}")
 
 
+def _shape(links: DataFrame) -> tuple[int, bool]:
+    """The number of links (u, v) and whether they are stars: each u has one v, which is no u itself."""
+    roles = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    n, other = nodes.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return n or 0, not other
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b): root is the smallest node reachable."""
     links = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"),
                                                F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while True:
+        n, stars = _shape(links)
+        if stars:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(
@@ -164,13 +179,21 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stash(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
-        # a decimal sum of hashes does not depend on row order and does not overflow
-        seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
+        # as many files as the links need: rounds on few links would else cost a task for each partition
+        links = stash(small.unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(
+            max(cores, -(-n // LINKS))), "links")
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root), whose components are further joined by ``edges`` (a, b)."""
+    known = roots.withColumnsRenamed({"node": "_node", "root": "_root"})
+    for end in ("a", "b"):
+        edges = edges.join(known, F.col(end) == F.col("_node"), "left").withColumn(
+            end, F.coalesce("_root", end)).drop("_node", "_root")
+    joined = components(edges)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return stash(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(
+        joined.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -350,14 +373,13 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = stash(shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
     tested = stash(members.where("rep <> centre").select(
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
-    edges = stash(verified(tested, sets, percent), "edges")
-    roots = components(edges)
+    roots = stash(components(verified(tested, sets, percent)), "roots")
     pairs = stash(_star_pairs(_open_buckets(members, roots)).distinct().join(
         tested, ["a", "b"], "left_anti"), "further")
     new = stash(verified(pairs, sets, percent), "edges")
-    tested, edges = tested.unionByName(pairs), edges.unionByName(new)
+    tested = tested.unionByName(pairs)
     if not new.isEmpty():
-        roots = components(edges)
+        roots = extended(roots, new)
     rows = stash(_open_buckets(members, roots), "open")
     pairs = stash(_all_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"), "further")
     last = [verified(pairs, sets, percent)]
@@ -365,12 +387,9 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not crowded.isEmpty():
         sizes = classes.select("rep", "n_shingles")
         last.append(_block_links(stash(_blocks(crowded, sizes, percent), "blocks"), sets, percent))
-    found = False
-    for part in last:
-        new = stash(part, "edges")
-        found, edges = found or not new.isEmpty(), edges.unionByName(new)
-    if found:
-        roots = components(edges)
+    new = [stash(part, "edges") for part in last]
+    if not all(part.isEmpty() for part in new):
+        roots = extended(roots, reduce(DataFrame.unionByName, new))
     ids = classes.select("n_shingles", "s1", "s2", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "s1", "s2", F.col("rep").alias("class_id"),

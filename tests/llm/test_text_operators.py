@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamsift.llm import contain, lines, neardup
 from loamsift.llm.common import NOT_SPACE, WordHasher, shingles
+from loamsift.session import stash
 from tests.llm.conftest import DOCS
 
 
@@ -345,3 +346,19 @@ print("fine")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
+
+
+def test_components_take_no_round_for_stars_and_few_files_else(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(neardup, "stash", lambda df, name: written.append(name) or stash(df, name))
+    stars = [(1, i) for i in range(2, 30)] + [(40, i) for i in range(41, 60)]
+    edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = neardup.components(edges(stars))
+    assert sorted(map(tuple, roots.collect())) == sorted({(b, a) for a, b in stars} | {(1, 1), (40, 40)})
+    assert written == ["links"]
+    chain = neardup.components(edges([(i, i + 1) for i in range(100, 160)])).collect()
+    assert sorted(map(tuple, chain)) == [(i, 100) for i in range(100, 161)]
+    assert neardup.components(edges([])).count() == 0
+    more = neardup.extended(roots, edges([(59, 29), (7, 7), (70, 71), (30, 58)])).collect()
+    want = [(i, 1) for i in range(1, 30)] + [(30, 1)] + [(i, 1) for i in range(40, 60)] + [(70, 70), (71, 70)]
+    assert sorted(map(tuple, more)) == want

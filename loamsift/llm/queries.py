@@ -135,7 +135,7 @@ FROM o WHERE finding IS NOT NULL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """An archive of all pages and its written replica, damaged by page_id: lost records, records
     with one byte changed, and records that stand a second time one byte further on."""
-    original = stash(warc.archive(table(spark, d, "pages")), "archive")
+    original = stash(warc.archive(table(spark, d, "pages")), "archive", "zstd")
     harm = F.expr(_DAMAGE)
     record = F.col("record")
     hurt = F.when(harm.eqNullSafe("changed"), F.expr(
@@ -144,7 +144,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "segment", "offset", hurt.alias("record"))
     extra = original.where(harm.eqNullSafe("extra")).select(
         "segment", (F.col("offset") + 1).alias("offset"), "record")
-    return warc.audit(original, stash(copy.unionByName(extra), "replica"))
+    return warc.audit(original, stash(copy.unionByName(extra), "replica", "zstd"))
 
 
 def _classified(scored: DataFrame, cut: float) -> DataFrame:

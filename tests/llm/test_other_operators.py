@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -200,6 +201,19 @@ def test_audit_finds_each_kind_of_damage(spark):
     assert warc.audit(empty, a).where("finding = 'extra'").count() == 600 and warc.audit(empty, empty).count() == 0
 
 
+def test_archive_and_replica_are_stored_in_less_than_the_pages(spark, tmp_path):
+    from loamsift.llm import queries
+    from loamsift.session import app_folder
+    html = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.hex(F.xxhash64("id", i))))
+    spark.range(1000).select(F.col("id").alias("page_id"), F.lit("http://a.com/").alias("url"),
+                             html.alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    room = lambda top, name: sum(p.stat().st_size for p in Path(top).glob(f"{name}*/*.parquet"))
+    before = {n: room(app_folder(spark), n) for n in ("archive", "replica")}
+    assert queries.QUERIES["op6_warc_fixity"](spark, str(tmp_path)).count() == 60
+    for name, had in before.items():
+        assert 0 < room(app_folder(spark), name) - had < 0.8 * room(tmp_path, "pages")
+
+
 def test_audit_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "h"), (2, "u", ""), (2, "u", ""), (3, "ü", "é" * 3)],
                                   "page_id long, url string, html string")

@@ -16,6 +16,9 @@ blocks are compared inside a task, so no row is made for a pair. Every two class
 bucket are thus compared or already in one component. Components are found by alternating
 large and small stars until only stars are left; later links join components already found.
 
+A step has as many tasks as its rows need, one for each core at least: most steps hold few rows, and
+a task for each shuffle partition would cost more than its work.
+
 Hot groups: minima and counts are combined before the shuffle, joins are ordinary shuffle
 joins that Spark may split, and the members of one centre are dealt into salts of about
 ``MEMBERS`` with a copy of the centre's set each.
@@ -50,7 +53,8 @@ SMALL = 12  # classes in a bucket whose pairs are rows; those of larger ones are
 BLOCK = 512  # classes in a block
 BLOCK_SHINGLES = 1 << 19  # shingles in a block, on average, unless one set is larger
 COLUMNS = 4096  # shingles counted at a time when two blocks are compared
-LINKS = 1 << 18  # links in a file between two rounds of stars
+LINKS = 1 << 18  # links, or rows as narrow, in a task
+SHINGLES = 1 << 21  # shingles of the sets in a task, on average
 
 
 def half_keys(threshold: float) -> int:
@@ -58,6 +62,12 @@ def half_keys(threshold: float) -> int:
     return math.ceil(math.log(MISS / 2) / math.log(1 - threshold ** ROWS))
 
 
+def fitted(df: DataFrame, rows: int, total: float = 0) -> DataFrame:
+    """``df`` in no more partitions than at most ``rows`` rows with ``total`` shingles need."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, math.ceil(rows / LINKS), math.ceil(total / SHINGLES)))
+
+
 def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, u, v): set size, set hash and the two half-key collections."""
     n_hashes = 2 * m * ROWS
@@ -102,9 +112,13 @@ def table_keys(classes: DataFrame) -> DataFrame:
             .select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep"))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, words): the sorted distinct shingles of each asked document as bytes."""
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, n: int, total: int) -> DataFrame:
+    """(id, words): the sorted distinct shingles of each asked document as bytes.
+
+    ``n`` and ``total`` are the numbers of documents and of their shingles.
+    """
+    wanted = fitted(docs.select("doc_id", "text").join(
+        ids, F.col("doc_id") == F.col("id"), "left_semi"), n, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = WordHasher(NOT_SPACE)
@@ -116,23 +130,26 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     [np.unique(s[x:y]).tobytes() for x, y in zip(first[:-1], first[1:])],
                     pa.binary())}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(wanted, run, f"id {kind}, words binary").dropDuplicates(["id"])
+    return arrow_map(wanted, run, f"id {kind}, words binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, mean: float) -> DataFrame:
     """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|.
 
-    All pairs of one ``a`` share its set; it is copied once for each MEMBERS of them.
+    All pairs of one ``a`` share its set; it is copied once for each MEMBERS of them. ``mean`` is
+    the mean size of a set. ``pairs`` must be stored.
     """
+    rows = 2 * pairs.count()
     kind = pairs.schema["a"].dataType.simpleString()
-    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    dealt = pairs.join(sized, "a").withColumn(
-        "salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
+    sized = fitted(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), rows)
+    dealt = fitted(pairs.join(sized, "a").withColumn(
+        "salt", F.pmod(F.xxhash64("b"), "salts").cast("int")), rows)
     members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "words")
     centres = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
                            ).join(sets.withColumnRenamed("id", "a"), "a").select(
         "a", "salt", F.lit(None).cast(kind).alias("b"), "words")
-    grouped = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions(
+    dealt = fitted(members, rows, rows * mean).unionByName(fitted(centres, rows, rows * mean))
+    grouped = fitted(dealt.repartition("a", "salt"), rows, rows * mean).sortWithinPartitions(
         "a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -153,65 +170,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(grouped, run, f"a {kind}, b {kind}")
 
 
-def _shape(links: DataFrame) -> tuple[int, bool]:
-    """The number of links (u, v) and whether they are stars: each u has one v, which is no u itself."""
+def _shape(links: DataFrame, rows: int) -> tuple[int, bool]:
+    """The number of links (u, v), at most ``rows``, and whether they are stars: each u has one v, which is no u itself."""
     roles = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    nodes = fitted(roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), rows)
     n, other = nodes.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
     return n or 0, not other
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge (a, b): root is the smallest node reachable."""
-    links = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"),
-                                               F.least("a", "b").alias("v")).distinct(), "links")
-    cores = edges.sparkSession.sparkContext.defaultParallelism
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(node, root) for every node of an edge (a, b): root is the smallest node reachable.
+
+    ``n`` is the number of edges or more; None: stored edges are counted.
+    """
+    n = edges.count() if n is None else n
+    links = stash(fitted(edges.where("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n), "links")
     while True:
-        n, stars = _shape(links)
+        n, stars = _shape(links, n)
         if stars:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+                fitted(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct(), n))
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = fitted(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * n)
+        large = fitted(fitted(both.join(low, "u"), 2 * n).where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
+        low = fitted(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(low, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        # as many files as the links need: rounds on few links would else cost a task for each partition
-        links = stash(small.unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(
-            max(cores, -(-n // LINKS))), "links")
+        links = stash(fitted(fitted(small, n).unionByName(low.withColumnRenamed("m", "v")).distinct(), n),
+                      "links")
 
 
 def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` (node, root), whose components are further joined by ``edges`` (a, b)."""
     known = roots.withColumnsRenamed({"node": "_node", "root": "_root"})
+    n = edges.count()
     for end in ("a", "b"):
-        edges = edges.join(known, F.col(end) == F.col("_node"), "left").withColumn(
-            end, F.coalesce("_root", end)).drop("_node", "_root")
-    joined = components(edges)
+        edges = fitted(edges.join(known, F.col(end) == F.col("_node"), "left").withColumn(
+            end, F.coalesce("_root", end)).drop("_node", "_root"), n)
+    joined = components(edges, n)
     moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return stash(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(
-        joined.join(roots.select("node"), "node", "left_anti")), "roots")
+    n = roots.count() + 2 * n
+    return stash(fitted(moved.select("node", F.coalesce("top", "root").alias("root")), n).unionByName(
+        fitted(joined.join(roots.select("node"), "node", "left_anti"), n)), "roots")
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, roots: DataFrame, n_rows: int) -> DataFrame:
     """(key, rep, root, centre, n) of buckets whose classes belong to several components."""
-    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root"), "centre")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                        F.count("*").alias("n")).where("lo <> hi")
-    return labelled.join(mixed.select("key", "n"), "key")
+    labelled = fitted(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("root", "rep").alias("root"), "centre"), n_rows)
+    mixed = fitted(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                               F.count("*").alias("n")).where("lo <> hi"), n_rows)
+    return fitted(labelled.join(mixed.select("key", "n"), "key"), n_rows)
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """In each open bucket one member of every component against one of the largest component."""
+def _star_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """In each open bucket one member of every component against one of the largest component.
+
+    ``n`` is the number of rows or more.
+    """
     reps = rows.groupBy("key", "root").agg(
         F.count("*").alias("size"),
         F.min(F.struct(F.xxhash64("rep", "key"), F.col("rep"))).alias("m")
     ).select("key", "root", "size", F.col("m.rep").alias("rep"))
-    centres = reps.groupBy("key").agg(F.max(F.struct("size", "root", "rep")).alias("c"))
+    reps = fitted(reps, n)
+    centres = fitted(reps.groupBy("key").agg(F.max(F.struct("size", "root", "rep")).alias("c")), n)
     return reps.join(centres, "key").where(F.col("root") != F.col("c.root")).select(
         F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
 
@@ -236,19 +261,20 @@ def _blocks(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     sizes differ by less than the threshold allows: links lie inside a band or between two
     neighbours. Components of half a block or more have blocks of their own.
     """
-    crowds = components(rows.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    n = rows.count()
+    crowds = components(rows.select(F.col("rep").alias("a"), F.col("centre").alias("b")), n)
     step = math.log(100 / percent) + 1e-3
-    own = stash(rows.select("rep", "root").distinct().join(sizes, "rep").join(
+    own = stash(fitted(rows.select("rep", "root").distinct().join(sizes, "rep").join(
         crowds.select(F.col("node").alias("rep"), F.col("root").alias("crowd")), "rep").withColumn(
-        "band", F.floor(F.log("n_shingles") / step)), "crowds")
+        "band", F.floor(F.log("n_shingles") / step)), n), "crowds")
     big = own.groupBy("crowd", "band", "root").count().where(F.col("count") >= BLOCK // 2)
-    parted = own.join(big, ["crowd", "band", "root"], "left").withColumn(
-        "part", F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.xxhash64("root")))
+    parted = fitted(own.join(big, ["crowd", "band", "root"], "left").withColumn(
+        "part", F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.xxhash64("root"))), n)
     deals = parted.groupBy("crowd", "band", "part").agg(F.ceil(F.greatest(
         F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("salts"))
-    return parted.join(deals, ["crowd", "band", "part"]).select(
+    return fitted(parted.join(deals, ["crowd", "band", "part"]).select(
         "rep", "root", "crowd", "band", F.struct(
-            "crowd", "band", "part", F.pmod(F.xxhash64("rep"), "salts").alias("salt")).alias("block"))
+            "crowd", "band", "part", F.pmod(F.xxhash64("rep"), "salts").alias("salt")).alias("block")), n)
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -278,8 +304,8 @@ def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Of the links between two blocks only those are given that join something new there.
     """
     kind = dealt.schema["rep"].dataType.simpleString()
-    blocks = dealt.groupBy("block", "crowd", "band").agg(F.min("root").alias("lo"),
-                                                         F.max("root").alias("hi"))
+    blocks = fitted(dealt.groupBy("block", "crowd", "band").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi")), dealt.count())
     other = blocks.select("crowd", "band", F.col("block").alias("second"),
                           F.col("lo").alias("lo_2"), F.col("hi").alias("hi_2"))
     one = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo_2")) & (F.col("lo") == F.col("hi_2"))
@@ -289,10 +315,11 @@ def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = dealt.select("rep", "root", "block")
     sides = jobs.withColumn("block", F.col("first")).withColumn("side", F.lit(0)).unionByName(
         jobs.where("first <> second").withColumn("block", F.col("second")).withColumn("side", F.lit(1)))
+    tasks = max(dealt.sparkSession.sparkContext.defaultParallelism, jobs.count())  # a job or more each
     grouped = rows.join(sides, "block").select(
         F.xxhash64("first").alias("x"), F.xxhash64("second").alias("y"), "side", "rep", "root").join(
-        sets.withColumnRenamed("id", "rep"), "rep").repartition("x", "y").sortWithinPartitions(
-        "x", "y", "side", "rep")
+        sets.withColumnRenamed("id", "rep"), "rep").coalesce(2 * tasks).repartition("x", "y").coalesce(
+        tasks).sortWithinPartitions("x", "y", "side", "rep")
 
     def compare(job: list[tuple]) -> dict:
         left = [r for r in job if not r[0]]
@@ -355,34 +382,39 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not _repeats(docs):
         return _link(docs, k, percent)
     plain = [F.col(f"{c}.doc_id").alias(c) for c in ("class_id", "component_id")]
-    return _link(docs.select(_text_id().alias("doc_id"), "text"), k, percent).select(
+    return _link(docs.select(_text_id().alias("doc_id"), "text"), k, percent, True).select(
         F.col("doc_id.doc_id").alias("doc_id"), "n_shingles", *plain, "kept")
 
 
-def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``link`` where all rows of a doc_id have the same text."""
+def _link(docs: DataFrame, k: int, percent: int, repeats: bool = False) -> DataFrame:
+    """``link`` where all rows of a doc_id have the same text; ``repeats``: it may have several."""
     docs = docs.select("doc_id", "text")
     sigs = stash(signatures(docs, k, half_keys(percent / 100)), "signatures")
-    classes = stash(sigs.where("doc_id is not null and n_shingles > 0").groupBy(
+    n_docs, total = sigs.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    mean = total / max(n_docs, 1)
+    classes = stash(fitted(sigs.where("doc_id is not null and n_shingles > 0").groupBy(
         "n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"),
-                                      F.first("v").alias("v")), "classes")
+                                      F.first("v").alias("v")), n_docs), "classes")
     keys = table_keys(classes)
     centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")
                                       ).where("n > 1").select("key", "centre")
-    members = stash(keys.join(centres, "key"), "members")
-    sets = stash(shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
-    tested = stash(members.where("rep <> centre").select(
-        F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
-    roots = stash(components(verified(tested, sets, percent)), "roots")
-    pairs = stash(_star_pairs(_open_buckets(members, roots)).distinct().join(
-        tested, ["a", "b"], "left_anti"), "further")
-    new = stash(verified(pairs, sets, percent), "edges")
+    members = stash(fitted(keys.join(centres, "key"), n_docs * half_keys(percent / 100) ** 2), "members")
+    n = members.count()
+    sets = shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k, n_docs, total)
+    sets = stash(fitted(sets.dropDuplicates(["id"]), n_docs, total) if repeats else sets, "sets")
+    tested = stash(fitted(members.where("rep <> centre").select(
+        F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), n), "tested")
+    roots = stash(components(verified(tested, sets, percent, mean), tested.count()), "roots")
+    pairs = stash(fitted(_star_pairs(_open_buckets(members, roots, n), n).distinct().join(
+        tested, ["a", "b"], "left_anti"), n), "further")
+    new = stash(verified(pairs, sets, percent, mean), "edges")
     tested = tested.unionByName(pairs)
     if not new.isEmpty():
         roots = extended(roots, new)
-    rows = stash(_open_buckets(members, roots), "open")
-    pairs = stash(_all_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"), "further")
-    last = [verified(pairs, sets, percent)]
+    rows = stash(_open_buckets(members, roots, n), "open")
+    pairs = stash(fitted(_all_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"),
+                         rows.count() * SMALL), "further")
+    last = [verified(pairs, sets, percent, mean)]
     crowded = rows.where(F.col("n") > SMALL)
     if not crowded.isEmpty():
         sizes = classes.select("rep", "n_shingles")
@@ -395,8 +427,8 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
         "n_shingles", "s1", "s2", F.col("rep").alias("class_id"),
         F.coalesce("root", "rep").alias("component_id"))
     own = F.col("doc_id")
-    joined = sigs.select("doc_id", "n_shingles", "s1", "s2").join(ids, ["n_shingles", "s1", "s2"],
-                                                                  "left")
+    joined = fitted(sigs.select("doc_id", "n_shingles", "s1", "s2").join(
+        ids, ["n_shingles", "s1", "s2"], "left"), n_docs)
     alone = own.isNull() | (F.col("n_shingles") == 0)
     return joined.select(
         "doc_id", "n_shingles", F.when(alone, own).otherwise(F.col("class_id")).alias("class_id"),
@@ -415,7 +447,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return choose(docs, located(docs).select("doc_id", *PLACE).join(gone, "doc_id", "left_anti"))
     content = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     rows = located(docs).select(_text_id().alias("doc"), content.alias("content"), *PLACE)
-    marks = stash(_link(docs.select(_text_id().alias("doc_id"), "text"), k, percent).where(
+    marks = stash(_link(docs.select(_text_id().alias("doc_id"), "text"), k, percent, True).where(
         "doc_id is not null and n_shingles > 0").select(
         F.col("doc_id").alias("doc"), "kept").distinct(), "marks")
     order = Window.partitionBy("doc").orderBy("content", *PLACE)

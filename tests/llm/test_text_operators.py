@@ -362,3 +362,32 @@ def test_components_take_no_round_for_stars_and_few_files_else(spark, monkeypatc
     more = neardup.extended(roots, edges([(59, 29), (7, 7), (70, 71), (30, 58)])).collect()
     want = [(i, 1) for i in range(1, 30)] + [(30, 1)] + [(i, 1) for i in range(40, 60)] + [(70, 70), (71, 70)]
     assert sorted(map(tuple, more)) == want
+
+
+def test_near_dedup_uses_no_more_tasks_than_its_rows_need(spark, monkeypatch):
+    files = {}
+
+    def counted(df, name):
+        out = stash(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(neardup, "stash", counted)
+    rng = random.Random(9)
+    texts = []
+    for i in range(100):  # a text, one near copy and a third that is near only to the second
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(80)]
+        texts += [" ".join(words), " ".join(words[2:]), " ".join(words[4:])]
+    docs = docs_of(spark, texts)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = neardup.link(docs, 3, 95)
+        parts = got.rdd.getNumPartitions()
+        rows = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows == {i: i - i % 3 for i in range(300)}
+    assert parts <= 8 and max(files.values()) <= 16, files  # 16: two parts in one table

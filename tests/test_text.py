@@ -165,3 +165,19 @@ def test_english(spark, name, test, args):
     for r in df.select("i", language.is_english("t", "b", test).alias("e")).collect():
         assert r["e"] == samples.english(titles[r["i"]], bodies[r["i"]], *args), (
             titles[r["i"]], bodies[r["i"]])
+
+
+def test_head_and_foreign_words_of_long_words_and_all_blanks(spark):
+    import time
+
+    from loamsift.functions.language import _NON_ASCII_WORD
+    from loamsift.functions.text import head_words
+    texts = ["a b c d", "a\nb\n \n c  d", "a b c d\tx", "é b\x1cc\r\nd", "a b c", "", "a\x7fb c\x00d e f", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", head_words("t", 3).alias("h")).collect()
+    want = [t if t is None or len(t.split()) <= 3 else " ".join(t.split()[:3]) for t in texts]
+    assert [r["h"] for r in sorted(got, key=lambda r: r["i"])] == want
+    long = spark.createDataFrame([("x" * 150_000 + " né é xéy x",)], "t string")
+    start = time.time()
+    assert long.select(F.regexp_count("t", F.lit(_NON_ASCII_WORD))).first()[0] == 3
+    assert time.time() - start < 8  # the square of the word's length took far longer
